@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +114,7 @@ def _shared_names(rows: pa.Table) -> pa.Table:
     cut = np.cumsum([len(lo) for lo, *_ in got])[:-1]
     reply = [(C.pack(np.packbits(x)) if x.any() else None) for x in np.split(shared, cut)]
     out = pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "kind": rows.column("kind"), "payload": pa.array(reply, pa.binary())})
-    return out.filter(pa.compute.is_valid(out.column("payload")))
+    return out.filter(pc.is_valid(out.column("payload")))
 
 
 def _send_windows(buckets: int):
