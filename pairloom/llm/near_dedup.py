@@ -13,8 +13,11 @@ and far less within a group, where other links tie the same documents.
 Documents with equal sets form one class, and from then on its smallest doc_id stands for it. Half-keys
 that only one class has are dropped before keys are paired. In each round every class is compared with
 one other of its buckets, by sets, and linked classes merge; buckets within one group are done. After
-``STARS`` rounds the buckets that still hold several groups are settled in whole: every pair of
-different groups in them is compared, in tiles of ``TILE`` classes. No pair within a group is listed.
+``STARS`` rounds the buckets that still hold several groups are settled in whole: buckets of up to
+``SMALL`` classes list their pairs of different groups, larger ones compare them in tiles of ``TILE``
+classes, each pair in the first bucket that it shares only. A sketch of ``BINS`` bins (the first
+element of each) passes a pair on to the full sets unless its estimate lies more than five standard
+deviations below the threshold. No pair within a group is listed.
 
 Elements are 52-bit fingerprints of words; two elements of one pair of documents of 1,000 words share
 one with a chance of 1e-10. Null and empty texts have an empty set; rows with one doc_id are each
@@ -32,11 +35,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-HALVES, EACH, STARS, TILE = 8, 2, 2, 64
+HALVES, EACH, STARS = 8, 2, 2
+SMALL, TILE, BINS = 24, 512, 256
 _SLOTS = [f"h{i}" for i in range(2 * HALVES)]
 _BITS = np.uint64(52)
-#: A pair of at least 0.8 shares fewer of the 16 half-keys with a chance of 3e-5.
-LEAST_SLOTS = 3
 _SLICE_BYTES, _SLICE_ROWS = 4 << 20, 4000
 
 
@@ -101,6 +103,23 @@ def _sketch(width: int):
     return run
 
 
+def _sketches(got: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row of BINS bytes for each set: 0 for a bin without elements, else 1 to 255 from its first element."""
+    doc, place = np.repeat(np.arange(len(count)), count), (got >> (_BITS - np.uint64(8))).astype(np.int64)
+    new = np.ones(len(got), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    out = np.zeros((len(count), BINS), np.uint8)
+    out[doc[new], place[new]] = got[new] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Whether the sketches in the rows of a are near those in b (or the one b)."""
+    seen = ((a > 0) | (b > 0)).sum(axis=-1)
+    same = ((a == b) & (a > 0)).sum(axis=-1)
+    return same >= seen * limit - 5 * np.sqrt(np.maximum(seen, 1) * limit * (1 - limit)) - 1
+
+
 def _full_sets(width: int):
     def run(batches):
         for batch in batches:
@@ -108,7 +127,19 @@ def _full_sets(width: int):
                 got, count = sets(part.column("text"), width)
                 raw, end = got.tobytes(), 8 * np.cumsum(count)
                 blobs = [raw[e - 8 * n : e] for e, n in zip(end.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "elements": pa.array(blobs, pa.binary())})
+                short = [x.tobytes() for x in _sketches(got, count)]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "elements": pa.array(blobs, pa.binary()), "sketch": pa.array(short, pa.binary()), "size": pa.array(count, pa.int64())})
+
+    return run
+
+
+def _likely(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("u_sketch", "v_sketch"))
+                batch = batch.filter(pa.array(_near(u, v, num / den)))
+            yield batch.select(["u", "v"])
 
     return run
 
@@ -136,12 +167,11 @@ def _tiles(num: int, den: int):
     """Links between the classes of two tiles of one bucket, where their groups differ."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, side, root = (rows.column(c).to_numpy() for c in ("rep", "side", "root"))
+        ids, side, root, n = (rows.column(c).to_numpy() for c in ("rep", "side", "root", "size"))
         slots = np.stack([rows.column(c).to_numpy() for c in _SLOTS], axis=1)
-        own = [np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()]
-        n = np.array([len(x) for x in own])
-        one = bool(rows.column("one")[0].as_py())
-        left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        a, b, one = (rows.column(c)[0].as_py() for c in ("a", "b", "one"))
+        own = rows.column("elements").to_pylist()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
         group = {int(r): int(r) for r in np.unique(root)}
 
         def top(x: int) -> int:
@@ -151,12 +181,16 @@ def _tiles(num: int, den: int):
             return x
 
         found = []
-        for i in left:
-            fits = (root[right] != root[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num) & ((slots[right] == slots[i]).sum(axis=1) >= LEAST_SLOTS)
-            for j in right[fits]:
-                a, b = top(int(root[i])), top(int(root[j]))
-                if (not one or j > i) and a != b and _alike(own[i], own[j], num, den):
-                    group[max(a, b)] = min(a, b)
+        everyone, right_side = np.arange(len(ids)), np.flatnonzero(side == 1)
+        for i in everyone if one else np.flatnonzero(side == 0):
+            right = everyone[i + 1 :] if one else right_side
+            right = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num)]
+            agree = slots[right] == slots[i]
+            right = right[(agree[:, :HALVES].argmax(axis=1) == a) & (agree[:, HALVES:].argmax(axis=1) + HALVES == b)]
+            for j in right[_near(sketch[right], sketch[i], num / den)]:
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x != y and _alike(np.frombuffer(own[i], np.uint64), np.frombuffer(own[j], np.uint64), num, den):
+                    group[max(x, y)] = min(x, y)
                     found.append((int(ids[i]), int(ids[j])))
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -180,13 +214,13 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     keys = (
         shared.select("rep", F.explode(pick(True)).alias("a"), pick(False).alias("bs"))
         .select("rep", "a", F.explode("bs").alias("b"))
-        .select("rep", F.xxhash64("a.slot", "a.half", "b.slot", "b.half").alias("key"))
+        .select("rep", F.xxhash64("a.slot", "a.half", "b.slot", "b.half").alias("key"), F.col("a.slot").alias("a"), F.col("b.slot").alias("b"))
     )
     keys = C.materialize(keys)
     several = C.materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").select("key", "least"))
     buckets = C.materialize(keys.join(several.select("key"), "key", "left_semi"))
     involved = buckets.select("rep").distinct()
-    full = C.materialize(slim.join(involved, slim.doc_id == involved.rep, "left_semi").mapInArrow(_full_sets(width), "doc_id long, elements binary"))
+    full = C.materialize(slim.join(involved, slim.doc_id == involved.rep, "left_semi").mapInArrow(_full_sets(width), "doc_id long, elements binary, sketch binary, size long"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         u, v = (full.select(F.col("doc_id").alias(c), F.col("elements").alias(f"{c}_set")) for c in "uv")
@@ -208,16 +242,20 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             break
         open_ = C.materialize(open_.join(left.select("key", "n"), "key"))
     if not left.isEmpty():
-        # tiles of a bucket: each class meets every tile of its bucket once
+        few, many = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
+        u, v = (few.select("key", F.col("rep").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
+        pairs = u.join(v, "key").filter("u < v AND u_root <> v_root").select("u", "v").distinct()
+        u, v = (full.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("size").alias(f"{c}_n")) for c in "uv")
+        pairs = pairs.join(u, "u").join(v, "v").filter(f"least(u_n, v_n) * {den} >= greatest(u_n, v_n) * {num}")
+        likely = C.materialize(pairs.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_likely(num, den), "u long, v long"))
+        # tiles of a larger bucket: each class meets every tile of its bucket once
         tiles = F.ceil(F.col("n") / TILE)
-        tile = F.pmod(F.xxhash64("rep", F.lit(9)), tiles)
-        slots = classes.select("rep", *_SLOTS)
-        placed = open_.select("key", "rep", "root", tile.alias("tile"), tiles.alias("tiles"))
+        placed = many.select("key", "a", "b", "rep", "root", F.pmod(F.xxhash64("rep", F.lit(9)), tiles).alias("tile"), tiles.alias("tiles"))
         meets = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-        meets = meets.select("key", "rep", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).cast("int").alias("one"))
-        meets = meets.join(slots, "rep").join(full.select(F.col("doc_id").alias("rep"), "elements"), "rep")
+        meets = meets.select("key", "a", "b", "rep", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("one"))
+        meets = meets.join(classes.select("rep", *_SLOTS), "rep").join(full.withColumnRenamed("doc_id", "rep"), "rep")
         more = meets.groupBy("key", "i", "j").applyInArrow(_tiles(num, den), "u long, v long")
-        links = C.materialize(links.unionByName(more))
+        links = C.materialize(links.unionByName(confirm(likely)).unionByName(more))
         roots = components(links)
     told = C.materialize(classes.select(*same, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id")))
     return rows.select("doc_id", *same).join(told, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
 }
-SQL = {**substring_dedup.SQL}
+SQL = {**substring_dedup.SQL, **near_dedup.SQL}
