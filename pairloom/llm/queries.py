@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, substring_dedup
+from . import language_id, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 SQL = {**substring_dedup.SQL, **near_dedup.SQL}
