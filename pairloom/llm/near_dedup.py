@@ -15,7 +15,7 @@ that only one class has are dropped before keys are paired. In each round every
 one other of its buckets, by sets, and linked classes merge; buckets within one group are done. After
 ``STARS`` rounds the buckets that still hold several groups are settled in whole: buckets of up to
 ``SMALL`` classes list their pairs of different groups, larger ones compare them in tiles of ``TILE``
-classes, each pair in the first bucket that it shares only. A sketch of ``BINS`` bins (the first
+elements, each pair in the first bucket that it shares only. A sketch of ``BINS`` bins (the first
 element of each) passes a pair on to the full sets unless its estimate lies more than five standard
 deviations below the threshold. No pair within a group is listed.
 
@@ -36,7 +36,9 @@ from . import common as C
 from .components import components
 
 HALVES, EACH, STARS = 8, 2, 2
-SMALL, TILE, BINS = 24, 512, 256
+SMALL, BINS = 24, 256
+#: Elements of the sets in a tile, and its classes, about.
+TILE, TILE_ROWS = 1_000_000, 4096
 _SLOTS = [f"h{i}" for i in range(2 * HALVES)]
 _BITS = np.uint64(52)
 _SLICE_BYTES, _SLICE_ROWS = 4 << 20, 4000
@@ -218,7 +220,7 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     )
     keys = C.materialize(keys)
     several = C.materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).filter("n > 1").select("key", "least"))
-    buckets = C.materialize(keys.join(several.select("key"), "key", "left_semi"))
+    buckets = C.materialize(keys.join(several.select("key"), "key", "left_semi").join(classes.select("rep", "n_shingles"), "rep"))
     involved = buckets.select("rep").distinct()
     full = C.materialize(slim.join(involved, slim.doc_id == involved.rep, "left_semi").mapInArrow(_full_sets(width), "doc_id long, elements binary, sketch binary, size long"))
 
@@ -237,10 +239,10 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         roots = components(links)
         labelled = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         open_ = C.materialize(labelled)
-        left = C.materialize(open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi"))
+        left = C.materialize(open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("elements_n")).filter("lo < hi"))
         if left.isEmpty():
             break
-        open_ = C.materialize(open_.join(left.select("key", "n"), "key"))
+        open_ = C.materialize(open_.join(left.select("key", "n", "elements_n"), "key"))
     if not left.isEmpty():
         few, many = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
         u, v = (few.select("key", F.col("rep").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv")
@@ -249,7 +251,7 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         pairs = pairs.join(u, "u").join(v, "v").filter(f"least(u_n, v_n) * {den} >= greatest(u_n, v_n) * {num}")
         likely = C.materialize(pairs.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_likely(num, den), "u long, v long"))
         # tiles of a larger bucket: each class meets every tile of its bucket once
-        tiles = F.ceil(F.col("n") / TILE)
+        tiles = F.greatest(F.ceil(F.col("elements_n") / TILE), F.ceil(F.col("n") / TILE_ROWS))
         placed = many.select("key", "a", "b", "rep", "root", F.pmod(F.xxhash64("rep", F.lit(9)), tiles).alias("tile"), tiles.alias("tiles"))
         meets = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
         meets = meets.select("key", "a", "b", "rep", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("one"))
