@@ -6,10 +6,11 @@ parent that does not exist, or on a cycle, belongs to no path. Root-to-leaf path
 from the leaves by halving: a stretch of 2^k messages becomes two of 2^(k-1). Paths of a tree are ranked
 by the mean score of their messages (null: 0), ties by the leaf's id, and the first ``top`` are formatted.
 
-The template sets each turn as ``<|role|>\\n`` text ``<|end|>\\n``. Inside roles and texts the escape ``\\``
-becomes ``\\\\``, ``<`` followed by ``|`` becomes ``\\<``, and ``[INST]``, ``[/INST]``, ``<s>`` and ``</s>``
-have their first character escaped too, so no text can look like a control string and unescaping is
-exact: a backslash stands for the next character. The loss mask covers the texts of ``assistant`` turns.
+The template sets each turn as ``<|role|>\\n`` text ``<|end|>\\n``. In roles and texts a backslash becomes
+two, and one is put into every control string behind its first character: ``<|``, ``[INST]``, ``[/INST]``,
+``<s>``, ``</s>``, and ``|>`` in roles. So no text holds a control string, turns are told apart by their
+marks alone, and unescaping is exact: a backslash stands for the next character. The loss mask covers
+the texts of ``assistant`` turns.
 Null texts and roles are empty. Turns that share a number go by role and text; equal rows are all kept.
 """
 
@@ -21,17 +22,18 @@ from pyspark.sql import functions as F
 from . import common as C
 
 END, ASSISTANT = "<|end|>", "assistant"
-#: Control strings of this template and others: fixed values, as a pattern whose first character is escaped.
-CONTROL = r"(\\|<(?=\|)|\[(?=/?INST\])|<(?=/?s>))"
+#: First characters of control strings of this template and others: fixed values.
+CONTROL = r"(<(?=\||/?s>)|\[(?=/?INST\]))"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, r"\\$1")
+    doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    return F.regexp_replace(doubled, CONTROL, r"$1\\")
 
 
 def escape_role(role: Column) -> Column:
     """As escape, and the ``|>`` that ends a role."""
-    return F.regexp_replace(escape(role), r"\|(?=>)", r"\\|")
+    return F.replace(escape(role), F.lit("|>"), F.lit("|\\>"))
 
 
 def unescape(text: Column) -> Column:
@@ -87,10 +89,10 @@ def formatted(messages: DataFrame, top: int | None = 1) -> DataFrame:
 
 def turns_of(text: Column) -> Column:
     """The (role, text) of each turn, read back from a formatted conversation."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)<\|((?:[^|\\]|\\.|\|(?!>))*)\|>\n((?:[^<\\]|\\.|<(?!\|))*)<\|end\|>\n"), F.lit(0))
-    role = lambda p: F.regexp_extract(p, r"(?s)^<\|((?:[^|\\]|\\.|\|(?!>))*)\|>\n", 1)
-    body = lambda p: F.substring(p, F.length(role(p)) + 6, F.length(p) - F.length(role(p)) - 5 - len(END) - 1)
-    return F.transform(parts, lambda p: F.struct(unescape(role(p)).alias("role"), unescape(body(p)).alias("text")))
+    parts = F.split(text, r"<\|end\|>\n", -1)
+    mark = lambda p: F.instr(p, F.lit("|>\n"))
+    turn = lambda p: F.struct(unescape(F.substring(p, F.lit(3), mark(p) - 3)).alias("role"), unescape(F.substring(p, mark(p) + 3, F.length(p))).alias("text"))
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
