@@ -1,6 +1,465 @@
-"""Registered queries by name, and the SQL that states each one."""
+"""Registered queries by name, and the SQL that states each one.
+
+All take (spark, sf_dir), read whole tables and return keyed rows. Adjacent documents stand in for text
+pairs, ``part`` names and types for very short texts, ``lineitem`` for a graph, and hashes of ids for
+predictions. Queries without SQL are tested against brute force on small fixtures.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cleanup, editdist, lexicon, order, pairs, stem, text, vectors
+from ..operators import ensemble, frames, signals
+from . import models
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.document_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = document_pairs(spark, sf_dir)
+    return p.select("id", text.tokens(F.col("question1")).alias("t1"), text.tokens(F.col("question2")).alias("t2"))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if k == "double" else c for c, k in df.dtypes))
+
+
+PAIRS = """pairs AS (
+  SELECT a.doc_id AS id, a.doc_id AS qid1, b.doc_id AS qid2, a.text AS question1, b.text AS question2, l.quality AS is_duplicate
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN labels l ON l.doc_id = a.doc_id)"""
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TOKENS = lambda c: f"list_filter(string_split_regex(lower(coalesce({c}, '')), '{_WS}'), lambda x: x <> '')"
+TOKENS = f"{PAIRS}, tok AS (SELECT id, {_TOKENS('question1')} AS t1, {_TOKENS('question2')} AS t2 FROM pairs)"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+SETS = f"""{TOKENS}, s AS (
+  SELECT id, t1, t2, list_distinct(t1) AS a, list_distinct(t2) AS b,
+         list_filter(list_distinct(t1), lambda x: NOT list_contains({_STOPS}, x)) AS sa,
+         list_filter(list_distinct(t2), lambda x: NOT list_contains({_STOPS}, x)) AS sb FROM tok)"""
+_RATIO = lambda x, y: f"CASE WHEN {y} = 0 THEN NULL WHEN {x} = 0 THEN 0.0 ELSE round({y}::DOUBLE / {x}, 6) END"
+_CHARS = lambda c: f"length(array_to_string({c}, ''))"
+
+
+def _overlap(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    p = token_pairs(spark, sf_dir)
+    f = pairs.overlap(F.col("t1"), F.col("t2"))
+    return rounded(p.select("id", *(f[n].alias(n) for n in names)))
+
+
+@query("overlap_jaccard", f"""WITH {SETS}
+SELECT id, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard,
+  abs(len(t1) - len(t2))::INTEGER AS wc_diff, len(list_distinct(list_concat(a, b)))::INTEGER AS total_unique_words, len(list_intersect(a, b))::INTEGER AS common_words FROM s""")
+def overlap_jaccard(spark, sf_dir):
+    return _overlap(spark, sf_dir, ["jaccard", "wc_diff", "total_unique_words", "common_words"])
+
+
+@query("overlap_ratios", f"""WITH {SETS}
+SELECT id, {_RATIO('len(t1)', 'len(t2)')} AS wc_ratio, abs(len(a) - len(b))::INTEGER AS wc_diff_unique, {_RATIO('len(a)', 'len(b)')} AS wc_ratio_unique,
+  (t1[1] = t2[1])::INTEGER AS same_start, abs({_CHARS('t1')} - {_CHARS('t2')})::INTEGER AS char_diff, {_RATIO(_CHARS('t1'), _CHARS('t2'))} AS char_ratio FROM s""")
+def overlap_ratios(spark, sf_dir):
+    return _overlap(spark, sf_dir, ["wc_ratio", "wc_diff_unique", "wc_ratio_unique", "same_start", "char_diff", "char_ratio"])
+
+
+@query("overlap_stops", f"""WITH {SETS}
+SELECT id, CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(sa, sb)) / (len(sa) + len(sb)), 6) END AS word_match,
+  abs(len(sa) - len(sb))::INTEGER AS wc_diff_unq_stop, {_RATIO('len(sa)', 'len(sb)')} AS wc_ratio_unique_stop,
+  abs({_CHARS('sa')} - {_CHARS('sb')})::INTEGER AS char_diff_unq_stop, len(list_distinct(list_concat(sa, sb)))::INTEGER AS total_unq_words_stop FROM s""")
+def overlap_stops(spark, sf_dir):
+    return _overlap(spark, sf_dir, ["word_match", "wc_diff_unq_stop", "wc_ratio_unique_stop", "char_diff_unq_stop", "total_unq_words_stop"])
+
+
+@query("overlap_weighted", f"""WITH {SETS}, n AS (SELECT w, count(*) AS n FROM (SELECT unnest(t1) AS w FROM tok UNION ALL SELECT unnest(t2) FROM tok) GROUP BY w),
+ws AS (SELECT w, CASE WHEN n < 2 THEN 0.0 ELSE 1.0 / (n + 10000) END AS v FROM n),
+one AS (SELECT id, unnest(a) AS w, 1 AS l, 0 AS r FROM s UNION ALL SELECT id, unnest(b), 0, 1 FROM s),
+g AS (SELECT id, w, sum(l) AS l, sum(r) AS r FROM one GROUP BY id, w),
+x AS (SELECT id, sum(CASE WHEN l + r = 2 THEN 2 * v ELSE 0 END) AS wb, sum(v * (l + r)) AS t,
+  sum(CASE WHEN l + r = 2 AND NOT list_contains({_STOPS}, w) THEN 2 * v ELSE 0 END) AS wsb, sum(CASE WHEN list_contains({_STOPS}, w) THEN 0 ELSE v * (l + r) END) AS st FROM g JOIN ws USING (w) GROUP BY id)
+SELECT s.id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(x.wb / nullif(t, 0), 6) END AS tfidf_wm,
+  CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN 0.0 ELSE round(wsb / nullif(st, 0), 6) END AS tfidf_wm_stops FROM s LEFT JOIN x ON x.id = s.id""")
+def overlap_weighted(spark, sf_dir):
+    p = token_pairs(spark, sf_dir)
+    counts = signals.word_counts(p, F.col("t1"), F.col("t2"))
+    whole = signals.weighted_match(p, counts, F.col("t1"), F.col("t2"), "tfidf_wm")
+    own = lambda c: F.array_except(c, text.stop_array())
+    part = signals.weighted_match(p, counts, own(F.col("t1")), own(F.col("t2")), "tfidf_wm_stops")
+    return rounded(whole.join(part, "id"))
+
+
+_F = """u1 AS (SELECT id, k, count(*) AS n FROM (SELECT id, unnest({0}) AS k FROM tok) GROUP BY id, k),
+u2 AS (SELECT id, k, count(*) AS n FROM (SELECT id, unnest({1}) AS k FROM tok) GROUP BY id, k),
+j AS (SELECT coalesce(u1.id, u2.id) AS id, u1.n AS n1, u2.n AS n2 FROM u1 FULL JOIN u2 ON u1.id = u2.id AND u1.k = u2.k)"""
+
+
+@query("token_freq_profile", f"""WITH {TOKENS}, {_F.format('t1', 't2')},
+g AS (SELECT id, coalesce(sum(n1) FILTER (n2 IS NOT NULL), 0) AS b1, coalesce(sum(n2) FILTER (n1 IS NOT NULL), 0) AS b2, coalesce(sum(n1) FILTER (n2 IS NULL), 0) AS o1, coalesce(sum(n2) FILTER (n1 IS NULL), 0) AS o2,
+  count(*) FILTER (n1 IS NOT NULL AND n2 IS NOT NULL) AS s, count(*) FILTER (n2 IS NULL) AS c1, count(*) FILTER (n1 IS NULL) AS c2 FROM j GROUP BY id)
+SELECT tok.id, CASE WHEN z THEN 0.0 ELSE round(b1::DOUBLE / len(t1) + b2::DOUBLE / len(t2) - o1::DOUBLE / len(t1) - o2::DOUBLE / len(t2), 6) + 0.0 END AS stems_freq,
+  CASE WHEN z THEN 0.0 ELSE round(2.0 * s / (2 * s + c1 + c2), 6) END AS stems_share,
+  CASE WHEN z THEN 0.0 ELSE round((o1::DOUBLE / len(t1) + o2::DOUBLE / len(t2)) / 2, 6) END AS stems_weighted_difference,
+  CASE WHEN z THEN 0.0 ELSE round(s / (s + 0.3::DOUBLE * (0.7::DOUBLE * least(c1, c2) + 0.3::DOUBLE * greatest(c1, c2))), 6) END AS stems_tversky_index
+FROM (SELECT *, len(t1) = 0 OR len(t2) = 0 AS z FROM tok) tok LEFT JOIN g ON g.id = tok.id""")
+def token_freq_profile(spark, sf_dir):
+    return rounded(pairs.stem_counts(token_pairs(spark, sf_dir)))
+
+
+@query("stem_features")
+def stem_features(spark, sf_dir):
+    p = token_pairs(spark, sf_dir).select("id", stem.stems(F.col("t1")).alias("t1"), stem.stems(F.col("t2")).alias("t2"))
+    return rounded(pairs.stem_counts(p))
+
+
+_CLOSE = """g AS (SELECT id, count(*) FILTER (n1 IS NOT NULL AND n2 IS NOT NULL AND abs(n1::DOUBLE / l1 - n2::DOUBLE / l2) <= 0.01) AS close, count(*) FILTER (n2 IS NULL) AS lone,
+  count(n1) + count(n2) AS size FROM j JOIN (SELECT id AS i, len(t1) AS l1, len(t2) AS l2 FROM tok) ON i = id GROUP BY id)
+SELECT tok.id, CASE WHEN len(t1) = 0 OR len(t2) = 0 THEN 0.0 ELSE round(({0}::DOUBLE * close - lone) / size, 6) + 0.0 END AS {1} FROM tok LEFT JOIN g ON g.id = tok.id"""
+_LETTERS = lambda c: f"list_filter(string_split(array_to_string({c}, ''), ''), lambda x: x <> '')"
+_BIGRAMS = lambda c: f"flatten(list_transform({c}, lambda w: CASE WHEN length(w) < 2 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END))"
+
+
+@query("char_profile", f"WITH {TOKENS}, {_F.format(_LETTERS('t1'), _LETTERS('t2'))}, {_CLOSE.format('2.0', 'character_freq')}")
+def char_profile(spark, sf_dir):
+    return rounded(pairs.character_freq(token_pairs(spark, sf_dir)))
+
+
+@query("bigram_profile", f"WITH {TOKENS}, {_F.format(_BIGRAMS('t1'), _BIGRAMS('t2'))}, {_CLOSE.format('1.3', 'syllable_similarity')}")
+def bigram_profile(spark, sf_dir):
+    return rounded(pairs.syllable_similarity(token_pairs(spark, sf_dir)))
+
+
+@query("frequent_distance")
+def frequent_distance(spark, sf_dir):
+    f = pairs.frequent(text.tokens(F.col("question1")), text.tokens(F.col("question2")))
+    return rounded(part_pairs(spark, sf_dir).select("id", *(c.alias(n) for n, c in f.items())))
+
+
+def part_pairs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question1"), F.col("p_type").alias("question2"))
+
+
+@query("subset_count")
+def subset_count(spark, sf_dir):
+    t = lambda c: text.tokens(text.strip_punctuation(F.col(c)))
+    return rounded(part_pairs(spark, sf_dir).select("id", pairs.subset_count(t("question1"), t("question2")).alias("subset_count")))
+
+
+@query("seq_ratio")
+def seq_ratio(spark, sf_dir):
+    return rounded(part_pairs(spark, sf_dir).select("id", order.string_similarity(F.col("question1"), F.col("question2")).alias("string_similarity")))
+
+
+@query("kendall")
+def kendall(spark, sf_dir):
+    p = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lead("text").over(_turns()).alias("next"))
+    t = lambda c: text.without_stops(text.tokens(F.col(c)))
+    said = p.select("id", stem.stems(t("text")).alias("t1"), stem.stems(t("next")).alias("t2"))
+    return rounded(said.select("id", order.kendall_features(F.col("t1"), F.col("t2")).alias("k")).select("id", "k.*"))
+
+
+def _turns():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+
+
+@query("edit_distance", "SELECT p_partkey AS id, levenshtein(p_name, p_type)::INTEGER AS distance FROM part")
+def edit_distance(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("id", F.levenshtein("question1", "question2").alias("distance"))
+
+
+@query("edit_ops")
+def edit_ops(spark, sf_dir):
+    return rounded(part_pairs(spark, sf_dir).select("id", editdist.edit_operations(F.col("question1"), F.col("question2")).alias("e")).select("id", "e.*"))
+
+
+@query("clean_text")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", cleanup.clean(F.col("text")).alias("text"))
+
+
+@query("remove_stopwords", f"""SELECT doc_id, array_to_string(list_filter(list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda x: x <> ''), lambda x: NOT list_contains({_STOPS}, x)), ' ') AS text FROM documents""")
+def remove_stopwords(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_stopwords(F.col("text")).alias("text"))
+
+
+_PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
+_FOUND = lambda c: f"list_transform(regexp_extract_all(translate(coalesce({c}, ''), {_PUNCT}, ''), '(?i)(' || n.p || ')', 1), lambda x: lower(x))"
+
+
+@query("places", f"""WITH {PAIRS}, n AS (SELECT string_agg(n_name, '|' ORDER BY n_name) AS p FROM (SELECT DISTINCT n_name FROM nation)),
+m AS (SELECT id, {_FOUND('question1')} AS m1, {_FOUND('question2')} AS m2 FROM pairs, n)
+SELECT id, len(list_intersect(m1, m2))::INTEGER AS places_share, len(list_filter(list_distinct(m1), lambda x: NOT list_contains(m2, x)))::INTEGER AS places_difference, (len(m1) * len(m2))::INTEGER AS places_prevalence FROM m""")
+def places(spark, sf_dir):
+    names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").distinct().collect()]  # a gazetteer
+    f = pairs.places(F.col("question1"), F.col("question2"), names)
+    return document_pairs(spark, sf_dir).select("id", *(c.alias(n) for n, c in f.items()))
+
+
+@query("text_frequency", f"""WITH {PAIRS}, n AS (SELECT q, count(*) AS n FROM (SELECT coalesce(question1, '') AS q FROM pairs UNION ALL SELECT coalesce(question2, '') FROM pairs) GROUP BY q)
+SELECT id, a.n AS q1_freq, b.n AS q2_freq FROM pairs JOIN n a ON a.q = coalesce(question1, '') JOIN n b ON b.q = coalesce(question2, '')""")
+def text_frequency(spark, sf_dir):
+    return signals.text_frequency(document_pairs(spark, sf_dir))
+
+
+@query("first_seen", "SELECT text, row_number() OVER (ORDER BY f) - 1 AS ordinal FROM (SELECT text, min(doc_id) AS f FROM documents GROUP BY text)")
+def first_seen(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("text").alias("q"), "doc_id")
+    return signals.first_seen(d, "doc_id").select(F.col("q").alias("text"), "ordinal")
+
+
+@query("eda_labels", f"""WITH {PAIRS}, q AS (SELECT qid, count(*) AS n FROM (SELECT qid1 AS qid FROM pairs UNION ALL SELECT qid2 FROM pairs) GROUP BY qid)
+SELECT (SELECT count(*) FROM pairs) AS n_pairs, (SELECT round(100 * avg(is_duplicate), 6) FROM pairs) AS percent_duplicate, count(*) AS n_ids, count(*) FILTER (n > 1) AS n_repeated FROM q""")
+def eda_labels(spark, sf_dir):
+    p = document_pairs(spark, sf_dir)
+    q = p.select(F.col("qid1").alias("qid")).union(p.select("qid2")).groupBy("qid").agg(F.count("*").alias("n"))
+    one = p.agg(F.count("*").alias("n_pairs"), (F.avg("is_duplicate") * 100).alias("percent_duplicate"))
+    ids = q.agg(F.count("*").alias("n_ids"), F.sum((F.col("n") > 1).cast("long")).alias("n_repeated"))
+    return rounded(one.crossJoin(F.broadcast(ids)))  # one row each
+
+
+@query("eda_lengths", "SELECT length(text)::INTEGER AS chars, count(*) AS n FROM (SELECT DISTINCT text FROM documents) GROUP BY 1")
+def eda_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text").distinct().groupBy(F.length("text").alias("chars")).agg(F.count("*").alias("n"))
+
+
+@query("eda_histogram", """WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents)
+SELECT CASE WHEN hi = lo THEN 0 ELSE least(49, floor((n_chars - lo) * 50.0::DOUBLE / (hi - lo))) END::INTEGER AS bucket, coalesce(quality, -1) AS quality, count(*) AS n
+FROM documents LEFT JOIN labels USING (doc_id), e GROUP BY ALL""")
+def eda_histogram(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    lo, hi = d.agg(F.min("n_chars"), F.max("n_chars")).first()
+    bucket = F.lit(0) if hi == lo else F.least(F.lit(49), F.floor((F.col("n_chars") - lo) * 50.0 / (hi - lo)).cast("int"))
+    return d.groupBy(bucket.cast("int").alias("bucket"), F.coalesce("quality", F.lit(-1)).alias("quality")).agg(F.count("*").alias("n"))
+
+
+@query("short_filter", f"WITH {PAIRS} SELECT coalesce(is_duplicate, -1) AS is_duplicate, count(*) AS n FROM pairs WHERE length(question1) >= 9 AND length(question2) >= 9 GROUP BY 1")
+def short_filter(spark, sf_dir):
+    return frames.drop_short(document_pairs(spark, sf_dir)).groupBy(F.coalesce("is_duplicate", F.lit(-1)).alias("is_duplicate")).agg(F.count("*").alias("n"))
+
+
+@query("rebalance", f"""WITH {PAIRS}, r AS (SELECT id, is_duplicate, row_number() OVER (PARTITION BY is_duplicate ORDER BY id) AS k, count(*) OVER (PARTITION BY is_duplicate) AS n FROM pairs)
+SELECT id, is_duplicate, 0 AS copy FROM r WHERE is_duplicate = 0 UNION ALL SELECT id, is_duplicate, 0 FROM r WHERE is_duplicate = 1 AND k <= floor(n * 0.8::DOUBLE) UNION ALL SELECT id, is_duplicate, 1 FROM r WHERE is_duplicate = 0""")
+def rebalance(spark, sf_dir):
+    return frames.rebalance(document_pairs(spark, sf_dir).select("id", "is_duplicate")).select("id", "is_duplicate", "copy")
+
+
+@query("symmetrized", f"WITH {PAIRS} SELECT id, qid1, qid2, 0 AS swapped FROM pairs UNION ALL SELECT id, qid2, qid1, 1 FROM pairs")
+def symmetrized(spark, sf_dir):
+    return frames.symmetrized(document_pairs(spark, sf_dir)).select("id", "qid1", "qid2", "swapped")
+
+
+@query("oversample", f"""WITH {PAIRS}, c AS (SELECT count(*) AS n, count(*) FILTER (is_duplicate = 1) AS d FROM pairs),
+k AS (SELECT id, is_duplicate, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS r FROM pairs WHERE is_duplicate = 1)
+SELECT id, coalesce(is_duplicate, -1) AS is_duplicate, 0 AS copy FROM pairs UNION ALL SELECT id, is_duplicate, 1 FROM k, c WHERE r <= greatest(0, least(d, floor(0.5::DOUBLE * n - d + 0.5)))""")
+def oversample(spark, sf_dir):
+    return frames.oversample_positives(document_pairs(spark, sf_dir).select("id", "is_duplicate"), F.md5(F.col("id").cast("string").cast("binary"))).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(-1)))
+
+
+@query("folds", f"WITH {PAIRS} SELECT id, coalesce(is_duplicate, -1) AS is_duplicate, ((row_number() OVER (PARTITION BY is_duplicate ORDER BY id) - 1) % 10)::INTEGER AS fold FROM pairs")
+def folds(spark, sf_dir):
+    return frames.folds(document_pairs(spark, sf_dir).select("id", "is_duplicate"), 10).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(-1)))
+
+
+@query("holdout", f"WITH {PAIRS} SELECT id, ('0x' || substr(md5('4242:' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 AS is_test FROM pairs")
+def holdout(spark, sf_dir):
+    return frames.split(document_pairs(spark, sf_dir).select("id"))
+
+
+# predictions of three models: shares made of hashes of model and id
+_PRED = "pred AS (SELECT m AS model, doc_id AS id, (('0x' || substr(md5(m || ':' || doc_id), 1, 6))::BIGINT + 1) / 16777218.0::DOUBLE AS p FROM documents, (SELECT unnest(['a', 'b', 'c']) AS m))"
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(*map(F.lit, "abc"))).alias("model"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "model", "id").cast("binary")), 1, 6), 16, 10).cast("long")
+    return d.select("model", "id", ((h + 1) / 16777218.0).alias("p"))
+
+
+@query("ensemble_wam", f"WITH {_PRED} SELECT id, round(sum(p * CASE model WHEN 'a' THEN 0.5 WHEN 'b' THEN 0.25 ELSE 1.0 END::DOUBLE) / 1.75, 6) AS p FROM pred GROUP BY id")
+def ensemble_wam(spark, sf_dir):
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 1.0)], "model string, weight double")
+    return rounded(ensemble.weighted_mean(predictions(spark, sf_dir), weights))
+
+
+@query("ensemble_gmean", f"WITH {_PRED} SELECT id, round(exp(avg(ln(p))), 6) AS p FROM pred GROUP BY id")
+def ensemble_gmean(spark, sf_dir):
+    return rounded(ensemble.geometric_mean(predictions(spark, sf_dir)))
+
+
+@query("ensemble_rank", f"""WITH {_PRED}, r AS (SELECT id, row_number() OVER (PARTITION BY model ORDER BY p, id) - 1 AS k FROM pred), m AS (SELECT id, avg(k) AS k FROM r GROUP BY id)
+SELECT id, round((row_number() OVER (ORDER BY k, id) - 1) / nullif(count(*) OVER () - 1, 0)::DOUBLE, 6) AS p FROM m""")
+def ensemble_rank(spark, sf_dir):
+    return rounded(ensemble.rank_average(predictions(spark, sf_dir)))
+
+
+@query("ensemble_symmetric", f"WITH {_PRED} SELECT id, round(avg(p), 6) AS p FROM pred WHERE model IN ('a', 'b') GROUP BY id")
+def ensemble_symmetric(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return rounded(ensemble.symmetric_mean(p.filter("model = 'a'"), p.filter("model = 'b'")))
+
+
+@query("model_correlation", f"WITH {_PRED} SELECT a.model AS model1, b.model AS model2, round(corr(a.p, b.p), 6) AS corr FROM pred a JOIN pred b ON a.id = b.id AND a.model < b.model GROUP BY 1, 2")
+def model_correlation(spark, sf_dir):
+    return rounded(ensemble.correlations(predictions(spark, sf_dir)))
+
+
+@query("log_loss", f"WITH {_PRED} SELECT model, round(avg(-(quality * ln(p) + (1 - quality) * ln(1 - p))), 6) AS log_loss FROM pred JOIN labels ON doc_id = id GROUP BY model")
+def log_loss(spark, sf_dir):
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    return rounded(predictions(spark, sf_dir).join(said, "id").groupBy("model").agg(ensemble.log_loss(F.col("quality"), F.col("p")).alias("log_loss")))
+
+
+@query("minmax_stretch", f"WITH {_PRED} SELECT id, round((p - min(p) OVER ()) / nullif(max(p) OVER () - min(p) OVER (), 0), 6) AS p FROM pred WHERE model = 'a'")
+def minmax_stretch(spark, sf_dir):
+    return rounded(ensemble.stretched(predictions(spark, sf_dir).filter("model = 'a'")))
+
+
+@query("feature_join", f"""WITH {PAIRS}, f AS (SELECT id, coalesce(length(question1), 0) AS len1 FROM pairs), g AS (SELECT doc_id AS id, quality * 1.0::DOUBLE AS q FROM labels)
+SELECT pairs.id, f.len1::INTEGER AS len1, coalesce(g.q, 0.0) AS q FROM pairs JOIN f ON f.id = pairs.id LEFT JOIN g ON g.id = pairs.id""")
+def feature_join(spark, sf_dir):
+    p = document_pairs(spark, sf_dir)
+    lengths = p.select("id", F.coalesce(F.length("question1"), F.lit(0)).alias("len1"))
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"))
+    return frames.assemble(p.select("id"), [lengths, said])
+
+
+@query("vocabulary", f"WITH {PAIRS} SELECT DISTINCT unnest(string_split(q, ' ')) AS word FROM (SELECT question1 AS q FROM pairs UNION ALL SELECT question2 FROM pairs)")
+def vocabulary(spark, sf_dir):
+    return frames.vocabulary(document_pairs(spark, sf_dir))
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+
+
+def _pagerank_sql() -> str:
+    steps = ["p0 AS MATERIALIZED (SELECT src AS node, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS pr FROM deg)"]
+    for k in range(1, 21):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT dst AS node, 0.15::DOUBLE / (SELECT count(*) FROM deg) + 0.85::DOUBLE * sum(pr * n / d) AS pr FROM links JOIN deg USING (src) JOIN p{k - 1} ON node = src GROUP BY dst)")
+    return f"""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL),
+deg AS MATERIALIZED (SELECT src, sum(n) AS d FROM links GROUP BY src), {', '.join(steps)} SELECT node, round(pr, 9) AS pr FROM p20"""
+
+
+@query("pagerank", _pagerank_sql())
+def pagerank(spark, sf_dir):
+    return rounded(signals.pagerank(_edges(spark, sf_dir)), 9)
+
+
+@query("kcore")
+def kcore(spark, sf_dir):
+    return signals.cores(_edges(spark, sf_dir))
+
+
+def word_vectors(spark, sf_dir) -> DataFrame:
+    """A vector for every word of part names and types: that of the embedding its hash names."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = e.count()
+    p = part_pairs(spark, sf_dir)
+    words = p.select(F.explode(F.array_union(text.tokens(F.col("question1")), text.tokens(F.col("question2")))).alias("word")).distinct()
+    return words.withColumn("vec_id", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(n))).join(e, "vec_id").select("word", "vec")
+
+
+def _vector_pairs(spark, sf_dir) -> DataFrame:
+    p = part_pairs(spark, sf_dir).select("id", text.tokens(F.col("question1")).alias("t1"), text.tokens(F.col("question2")).alias("t2"))
+    vecs = word_vectors(spark, sf_dir)
+    out = p
+    for name, words in (("v1", F.col("t1")), ("v2", F.col("t2")), ("u1", F.filter("t1", lambda w: ~F.array_contains("t2", w))), ("u2", F.filter("t2", lambda w: ~F.array_contains("t1", w)))):
+        at = p.select("id", F.posexplode(words).alias("k", "word")).join(vecs, "word", "left")
+        vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), 64))
+        own = at.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", vec.alias("v")))), lambda x: x["v"]).alias(name))
+        out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<array<double>>")))
+    return out
+
+
+@query("vector_features")
+def vector_features(spark, sf_dir):
+    return rounded(vectors.features(_vector_pairs(spark, sf_dir), 64))
+
+
+@query("vec_dot", """WITH p AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT id, round(list_inner_product(x, y), 5) AS dot, round(list_distance(x, y), 5) AS distance FROM p""")
+def vec_dot(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    p = e.join(e.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id")
+    return rounded(p.select("id", vectors.dot(F.col("x"), F.col("y")).alias("dot"), vectors.norm(F.zip_with("x", "y", lambda a, b: a - b)).alias("distance")), 5)
+
+
+@query("procrustes")
+def procrustes(spark, sf_dir):
+    p = _vector_pairs(spark, sf_dir)
+    return rounded(p.select("id", vectors.procrustes(F.col("v1"), F.col("v2"), 4).alias("procrustes_word2vec"), vectors.procrustes(F.col("u1"), F.col("u2"), 3).alias("procrustes_unique_word2vec")))
+
+
+def nation_lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A small lexicon: nations are words and synsets, their regions hypernyms."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    synset = n.select(F.lower("n_name").alias("word"), F.concat(F.lit("n."), "n_nationkey").alias("synset")).union(r.select(F.lower("r_name"), F.concat(F.lit("r."), "r_regionkey")))
+    hypernym = n.select(F.concat(F.lit("n."), "n_nationkey").alias("synset"), F.concat(F.lit("r."), "n_regionkey").alias("parent")).union(r.select(F.concat(F.lit("r."), "r_regionkey"), F.lit("world")))
+    lemma = n.select(F.concat(F.lit("n."), "n_nationkey").alias("synset"), F.lower("n_name").alias("lemma"))
+    return synset, hypernym, lemma
+
+
+def nation_pairs(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    a = n.select("n_nationkey", F.array(F.lower("n_name"), F.lower("r_name")).alias("t1"))
+    b = n.select(F.col("n_nationkey").alias("k2"), F.array(F.lower("n_name"), F.lit("and"), F.lower("r_name")).alias("t2"))
+    return a.join(b, F.col("k2") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("id"), "t1", "t2")
+
+
+@query("lexicon_features")
+def lexicon_features(spark, sf_dir):
+    facts = lexicon.word_facts(*nation_lexicon(spark, sf_dir))
+    return rounded(lexicon.with_facts(nation_pairs(spark, sf_dir), facts).select("id", *(c.alias(n) for n, c in lexicon.features().items())))
+
+
+@query("sentence_similarity")
+def sentence_similarity(spark, sf_dir):
+    synset, hypernym, lemma = nation_lexicon(spark, sf_dir)
+    many = lambda df, k, v: {r[0]: sorted(r[1]) for r in df.groupBy(k).agg(F.collect_set(v)).collect()}
+    p = nation_pairs(spark, sf_dir)
+    counts = {r.word: r.n for r in signals.word_counts(p, F.col("t1"), F.col("t2")).collect()}
+    s = lexicon.Sentences(many(synset, "word", "synset"), many(hypernym, "synset", "parent"), many(lemma, "synset", "lemma"), counts)
+    return rounded(lexicon.sentence_similarity(p, s))
+
+
+@query("entity_choice", """WITH t AS (SELECT word AS token, lang AS ent_type FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)), c AS (SELECT token, ent_type, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY CASE WHEN ent_type = '' THEN n * 0.5 ELSE n END DESC, ent_type) AS k FROM c)
+SELECT token, max(ent_type) FILTER (k = 1) AS first, max(ent_type) FILTER (k = 2 AND n > 2) AS second FROM k WHERE k <= 2 GROUP BY token""")
+def entity_choice(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("token"), F.col("lang").alias("ent_type"))
+    return frames.entity_choice(d)
+
+
+def labelled_features(spark, sf_dir) -> DataFrame:
+    p = document_pairs(spark, sf_dir).filter("is_duplicate IS NOT NULL")
+    said = p.select("id", F.col("is_duplicate").cast("double").alias("label"), text.tokens(F.col("question1")).alias("t1"), text.tokens(F.col("question2")).alias("t2"))
+    f = pairs.overlap(F.col("t1"), F.col("t2"))
+    return said.select("id", "label", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in f.items()))
+
+
+@query("model_gbt")
+def model_gbt(spark, sf_dir):
+    return models.boosted(labelled_features(spark, sf_dir))
+
+
+@query("model_stack")
+def model_stack(spark, sf_dir):
+    return models.stacked(labelled_features(spark, sf_dir))
