@@ -7,6 +7,7 @@ numpy; a word's fingerprint depends on its bytes alone, so every task gives a wo
 from __future__ import annotations
 
 import hashlib
+import itertools
 import tempfile
 import uuid
 
@@ -162,6 +163,47 @@ def blocked(docs: DataFrame, columns: list[str], per_partition: int = 2) -> Data
     return docs.select(block, *columns).repartition(n, "block")
 
 
+#: Bytes that a task holds before it sends its parts of blocks.
+_HELD_BYTES = 24 << 20
+
+
+def _block_parts(batches):
+    held: dict[int, list] = {}
+    size = 0
+
+    def sent():
+        for block, parts in held.items():
+            rows, sink = pa.concat_tables(parts).combine_chunks(), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        held.clear()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by("block")
+        block = rows.column("block").to_numpy()
+        rows = rows.drop_columns(["block"])
+        for lo, hi in itertools.pairwise((0, *(np.flatnonzero(np.diff(block)) + 1), len(block))):
+            if hi > lo:
+                held.setdefault(int(block[lo]), []).append(rows.slice(lo, hi - lo))
+        size += batch.nbytes
+        if size > _HELD_BYTES:
+            yield from sent()
+            size = 0
+    yield from sent()
+
+
+def blocked_tight(docs: DataFrame, columns: list[str], per_partition: int = 2) -> DataFrame:
+    """As blocked, but rows travel as compressed parts of blocks: (block, payload). unblocked() opens them."""
+    n = partitions(docs.sparkSession)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(per_partition * n)).cast("int").alias("block")
+    return docs.select(block, *columns).mapInArrow(_block_parts, "block int, payload binary").repartition(n, "block")
+
+
+def unblocked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in rows.column("payload").to_pylist()])
+
+
 def in_order(rows: pa.Table) -> pa.Table:
     """The rows by doc_id and text, whatever order they came in."""
     return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
