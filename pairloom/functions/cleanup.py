@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Profiles: 'rough' has all rules; 'clean' rewrites e-mail anywhere and leaves 'childern'; 'full' also drops quoted spans without known words.
 PROFILES = ("rough", "clean", "full")
 
@@ -96,15 +98,21 @@ def _apply(text: Column, rules) -> Column:
 
 def lower_starts(text: Column) -> Column:
     """Lower case for the first character, and for the first one after . ? ! ) ' or a double quote."""
-    text = F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
-    parts = F.split(text, r"(?<=[.?!)'\"])", -1)
+    head = let(text, lambda t: F.concat(F.lower(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))))
     first = lambda p: F.regexp_extract(p, r"(?Ud)^\s*.", 0)
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.lower(first(p)), F.substring(p, F.length(first(p)) + 1, F.length(p))))
-    return F.concat(F.get(parts, 0), F.array_join(rest, ""))
+    lowered = lambda p: let(first(p), lambda f: F.concat(F.lower(f), F.substring(p, F.length(f) + 1, F.length(p))))
+    return F.array_join(F.transform(F.split(head, r"(?<=[.?!)'\"])", -1), lambda p, i: F.when(i == 0, p).otherwise(lowered(p))), "")
+
+
+def _without_span(text: Column, pattern: str, known: Column) -> Column:
+    words = lambda t: F.split(F.lower(F.translate(t, "\"'()[]{}<>", "")), r"\s+")
+    found = F.regexp_extract(text, pattern, 0)
+    meant = F.coalesce(F.arrays_overlap(words(found), known), F.lit(False))
+    return F.when((found != "") & ~meant, F.regexp_replace(text, pattern, " quoted_item ")).otherwise(text)
 
 
 def clean(text: Column, profile: str = "rough", vocabulary: Column | None = None, compat: bool = False) -> Column:
-    """The cleaned text; '' for null. compat keeps the rule that turns every 'ig ' into 'ing ', else only a letter's.
+    """The cleaned text; '' for null. compat keeps the rule that turns every 'ig ' into 'ing ', else only after three letters.
 
     In profile 'full' a quoted or bracketed span becomes 'quoted_item' unless it holds a word of ``vocabulary``.
     """
@@ -116,14 +124,12 @@ def clean(text: Column, profile: str = "rough", vocabulary: Column | None = None
     if profile == "clean":
         spelling = [("e-mail", " email ", True), *spelling[1:]]
     if not compat:
-        spelling = [(r"(?<=[a-zA-Z])ig ", "ing ", False) if r[0].startswith("(?=[a-zA-Z])ig") else r for r in spelling]
+        spelling = [(r"(?<=[a-zA-Z]{3})ig ", "ing ", False) if r[0].startswith("(?=[a-zA-Z])ig") else r for r in spelling]
     out = _apply(_apply(_apply(out, CONTRACTIONS), spelling), NUMBERS_AND_SIGNS)
     if profile == "full":
         known = vocabulary if vocabulary is not None else F.array().cast("array<string>")
         for span in SPANS:
-            found = F.regexp_extract(out, f"(?d){span}", 0)
-            words = F.split(F.lower(F.translate(found, "\"'()[]{}<>", "")), r"\s+")
-            out = F.when((found != "") & ~F.coalesce(F.arrays_overlap(words, known), F.lit(False)), F.regexp_replace(out, f"(?d){span}", " quoted_item ")).otherwise(out)
+            out = let(out, lambda t: _without_span(t, f"(?d){span}", known))  # noqa: B023  used at once
     return F.trim(_apply(out, LAST))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,9 +52,12 @@ def write_csv(df: DataFrame, path: str, run: str | None = None) -> str:
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(model, id, p) of all files named like path; the model is the file's name, columns go by name."""
-    out = spark.read.schema("test_id long, is_duplicate double").option("header", True).option("enforceSchema", False).csv(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv[^/]*$", 1)
-    return out.select(name.alias("model"), F.col("test_id").alias("id"), F.col("is_duplicate").alias("p"))
+    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]  # a file per model
+    parts = []
+    for f in files:
+        rows = spark.read.option("header", True).csv(f)
+        parts.append(rows.select(F.lit(re.search(r"([^/]+?)(\.csv)?$", f)[1]).alias("model"), F.col("test_id").cast("long").alias("id"), F.col("is_duplicate").cast("double").alias("p")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "model string, id long, p double")
 
 
 def read_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
