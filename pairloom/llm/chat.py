@@ -45,18 +45,18 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     m = C.materialize(messages.select("id", "parent", "tree", "score"))
     up = C.materialize(m.select("id", F.col("parent").alias("to")))  # 2^k steps up
     reach, levels = up, [up]
-    while not reach.filter("to IS NOT NULL").isEmpty() and len(levels) < 40:
+    most = m.count().bit_length()  # no path is longer than all messages; what goes on after that is a cycle
+    while len(levels) <= most and not reach.filter("to IS NOT NULL").isEmpty():
         far = reach.select(F.col("id").alias("to"), F.col("to").alias("further"))
         on = reach.join(far, "to").select("id", F.col("further").alias("to"))  # missing parents fall away
         reach = C.materialize(on.unionByName(reach.filter("to IS NULL")))
         levels.append(reach)
     rooted = reach.filter("to IS NULL").select("id")  # all ancestors exist, and end at a root
     inner = m.select(F.col("parent").alias("id")).filter("id IS NOT NULL").distinct()
-    at = m.join(rooted, "id", "left_semi").join(inner, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("back"))
+    at = C.materialize(m.join(rooted, "id", "left_semi").join(inner, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("back")))
     for k in range(len(levels) - 2, -1, -1):
         above = at.join(levels[k], "id").filter("to IS NOT NULL").select("leaf", F.col("to").alias("id"), (F.col("back") + (1 << k)).alias("back"))
-        at = at.unionByName(above)
-    at = C.materialize(at)
+        at = C.materialize(at.unionByName(above))
     if top is None:
         return at.withColumn("rank", F.lit(1))
     scores = at.join(m.select("id", "tree", "score"), "id").groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
