@@ -71,3 +71,21 @@ def pad_sequence(ids: Column, length: int) -> Column:
     """The last ``length`` ids, filled with 0 in front."""
     kept = F.slice(ids, F.greatest(F.size(ids) - length + 1, F.lit(1)), F.lit(length))
     return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(kept), F.lit(0))), kept)
+
+
+def word_tokens(text: Column) -> Column:
+    """Words, contractions and punctuation as tokens, after the conventions of treebank tokenisers: n't and 's stand apart, so do marks and ellipses."""
+    text = F.coalesce(text, F.lit(""))
+    for pattern, put in (
+        (r"(\.\.\.)", " $1 "),
+        (r"([;@#$%&?!\[\](){}<>])", " $1 "),
+        (r"([,:])(?=\D|$)", " $1 "),
+        (r"(?<!\.)(\.)(?=['\")\s]*$)", " $1"),
+        (r"(--)", " $1 "),
+        (r'(\")', " $1 "),
+        (r"(?i)(?<=\w)(n't)\b", " $1"),
+        (r"(?i)(?<=\w)('(?:s|m|d|ll|re|ve))\b", " $1"),
+        (r"(?i)\b(can)(not)\b", "$1 $2"),
+    ):
+        text = F.regexp_replace(text, pattern, put)
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize
 from .frames import number_within
 
 
@@ -50,3 +51,22 @@ def stretched(predictions: DataFrame) -> DataFrame:
     """(id, p) moved to the range 0 to 1; 0 if all are equal."""
     ends = predictions.agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     return predictions.crossJoin(F.broadcast(ends)).select("id", F.coalesce(F.try_divide(F.col("p") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)).alias("p"))
+
+
+def expanding_correlation(predictions: DataFrame, first: str, second: str) -> DataFrame:
+    """(id, corr) of two models over all ids up to each; the last row's is the correlation of all.
+
+    Sums of ranges of ids come first, so the running frame of a row stays within its range.
+    """
+    a, b = (predictions.filter(F.col("model") == m).select("id", F.col("p").alias(c)) for m, c in ((first, "x"), (second, "y")))
+    rows = a.join(b, "id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    parts = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
+    rows = materialize(rows.select("id", "part", *(c.alias(f"v_{k}") for k, c in parts.items())))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("part").agg(*(F.sum(f"v_{k}").alias(f"s_{k}") for k in parts))
+    base = sums.select("part", *(F.coalesce(F.sum(f"s_{k}").over(before), F.lit(0.0)).alias(f"b_{k}") for k in parts))
+    own = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    t = rows.join(base, "part").select("id", *((F.sum(f"v_{k}").over(own) + F.col(f"b_{k}")).alias(k) for k in parts))
+    up = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    down = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    return t.select("id", F.when(F.col("n") > 1, F.try_divide(up, down)).alias("corr"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pad_sequence
 from ..sources.store import materialize
 
 
@@ -104,3 +105,17 @@ def cores(edges: DataFrame, most: int = 20, rounds: int = 200) -> DataFrame:
         if both_bounds.filter("fell").isEmpty():
             break
     return bound.select("node", F.when(F.col("h") >= 2, F.col("h")).otherwise(0).alias("core"))
+
+
+def word_index(counts: DataFrame, most: int = 200_000) -> DataFrame:
+    """(word, idx): the most frequent words, numbered from 1, ties by word. The numbering window sees ``most`` rows at most."""
+    top = counts.orderBy(F.desc("n"), "word").limit(most)
+    return top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("idx"))
+
+
+def sequences(texts: DataFrame, index: DataFrame, length: int = 30) -> DataFrame:
+    """(id, seq): the indexes of a text's known words (id, t), the last ``length`` of them, filled with 0 in front."""
+    words = texts.select("id", F.posexplode("t").alias("at", "word")).join(index, "word")
+    own = words.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "idx"))), lambda x: x["idx"]).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return texts.select("id").join(own, "id", "left").select("id", pad_sequence(ids, length).alias("seq"))

@@ -346,6 +346,31 @@ def vocabulary(spark, sf_dir):
     return frames.vocabulary(document_pairs(spark, sf_dir))
 
 
+_INDEX = """n AS (SELECT w, count(*) AS n FROM (SELECT unnest(t1) AS w FROM tok UNION ALL SELECT unnest(t2) FROM tok) GROUP BY w),
+ix AS (SELECT w AS word, row_number() OVER (ORDER BY n DESC, w)::INTEGER AS idx FROM n QUALIFY idx <= 200000)"""
+
+
+@query("word_index", f"WITH {TOKENS}, {_INDEX} SELECT word, idx FROM ix")
+def word_index(spark, sf_dir):
+    p = token_pairs(spark, sf_dir)
+    return signals.word_index(signals.word_counts(p, F.col("t1"), F.col("t2")))
+
+
+@query("sequences", f"""WITH {TOKENS}, {_INDEX}, e AS (SELECT id, unnest(t1) AS word, unnest(range(1, len(t1) + 1)) AS k FROM tok),
+l AS (SELECT id, list(idx ORDER BY k) AS ids FROM e JOIN ix USING (word) GROUP BY id)
+SELECT tok.id, array_to_string(list_concat(list_transform(range(0, greatest(0, 30 - len(coalesce(ids, [])))), lambda x: 0), list_slice(coalesce(ids, []), greatest(1, len(coalesce(ids, [])) - 29), len(coalesce(ids, [])))), ',') AS seq FROM tok LEFT JOIN l ON l.id = tok.id""")
+def sequences(spark, sf_dir):
+    p = token_pairs(spark, sf_dir)
+    index = signals.word_index(signals.word_counts(p, F.col("t1"), F.col("t2")))
+    out = signals.sequences(p.select("id", F.col("t1").alias("t")), index)
+    return out.select("id", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"))
+
+
+@query("expanding_correlation", f"WITH {_PRED} SELECT a.id, CASE WHEN row_number() OVER w > 1 THEN round(corr(a.p, b.p) OVER w, 6) END AS corr FROM pred a JOIN pred b ON a.id = b.id AND a.model = 'a' AND b.model = 'b' WINDOW w AS (ORDER BY a.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def expanding_correlation(spark, sf_dir):
+    return rounded(ensemble.expanding_correlation(predictions(spark, sf_dir), "a", "b"))
+
+
 def _edges(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 

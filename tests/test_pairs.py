@@ -125,3 +125,8 @@ def test_vectors(spark):
     assert got[1].log_diff_word2vec == pytest.approx(math.log1p(np.linalg.norm(v2.sum(axis=0) - v1.sum(axis=0)) / 7))
     assert all(x == 0 for x in got[2][1:])
     assert vectors._disparity(v1, v1 * 3 + 1) == pytest.approx(0, abs=1e-12)
+
+
+def test_word_tokens(spark):
+    got = spark.createDataFrame([("I can't go, it's 3.5... Really?",), (None,)], "q string").select(text.word_tokens(F.col("q")).alias("t")).collect()
+    assert got[0].t == ["I", "ca", "n't", "go", ",", "it", "'s", "3.5", "...", "Really", "?"] and got[1].t == []
