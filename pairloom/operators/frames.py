@@ -13,7 +13,8 @@ def document_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     a = documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("qid1"), F.col("text").alias("question1"))
     b = documents.select((F.col("doc_id") - 1).alias("id"), F.col("doc_id").alias("qid2"), F.col("text").alias("question2"))
     said = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("is_duplicate"))
-    return a.join(b, "id").join(said, "id", "left").select("id", "qid1", "qid2", "question1", "question2", "is_duplicate")
+    # dealt by id, as the join and the features that group by id need them, even where one side could be broadcast
+    return a.repartition("id").join(b.repartition("id"), "id").join(said, "id", "left").select("id", "qid1", "qid2", "question1", "question2", "is_duplicate")
 
 
 def unify(train: DataFrame, test: DataFrame) -> DataFrame:

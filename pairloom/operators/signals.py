@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pairs import counted
 from ..functions.text import pad_sequence
 from ..sources.store import materialize
 
@@ -19,18 +20,21 @@ def word_weight(n: Column, least: int = 2, eps: int = 10_000) -> Column:
     return F.when(n < least, 0.0).otherwise(1.0 / (n + eps))
 
 
-def weighted_match(pairs: DataFrame, counts: DataFrame, a: Column, b: Column, name: str) -> DataFrame:
-    """(id, name): twice the weights of shared distinct words over all weights; 0 if a side is empty, null if nothing weighs.
+def weighted_match(pairs: DataFrame, counts: DataFrame, stops: list[str]) -> DataFrame:
+    """(id, tfidf_wm, tfidf_wm_stops) of (id, t1, t2): twice the weights of shared distinct words over all weights, with and without stopwords.
 
-    Words meet their weights in one join; a word that every text has is a skewed key that AQE splits.
+    0 if a side is empty, null if nothing weighs. Words meet their weights in one join; a word that
+    every text has is a skewed key that AQE splits.
     """
-    said = pairs.select("id", F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b"))
-    word = said.select("id", F.explode(F.array_union("a", "b")).alias("word"), "a", "b")
-    word = word.select("id", "word", (F.array_contains("a", F.col("word")).cast("int") + F.array_contains("b", F.col("word")).cast("int")).alias("sides"))
-    weighed = word.join(counts.select("word", word_weight(F.col("n")).alias("w")), "word")
-    sums = weighed.groupBy("id").agg(F.sum(F.when(F.col("sides") == 2, F.col("w") * 2).otherwise(0.0)).alias("both"), F.sum(F.col("w") * F.col("sides")).alias("all"))
-    empty = (F.size("a") == 0) | (F.size("b") == 0)
-    return said.join(sums, "id", "left").select("id", F.when(empty, 0.0).otherwise(F.try_divide("both", "all")).alias(name))
+    sets = pairs.select("id", F.array_distinct("t1").alias("u1"), F.array_distinct("t2").alias("u2"))
+    word = counted(sets).withColumnRenamed("unit", "word").join(counts.select("word", word_weight(F.col("n")).alias("w")), "word")
+    both, sides, plain = (F.col("n1") > 0) & (F.col("n2") > 0), F.col("w") * (F.col("n1") + F.col("n2")), ~F.col("word").isin(stops) if stops else F.lit(True)
+    total = lambda on, c: F.sum(F.when(on, c).otherwise(0.0))
+    some = lambda on: (F.count_if(on & (F.col("n1") > 0)) > 0) & (F.count_if(on & (F.col("n2") > 0)) > 0)
+    match = lambda on: F.when(some(on), F.try_divide(total(on & both, sides), total(on, sides))).otherwise(0.0)
+    sums = word.groupBy("id").agg(match(F.lit(True)).alias("tfidf_wm"), match(plain).alias("tfidf_wm_stops"), F.lit(True).alias("there"))
+    missing = lambda c: F.when(F.col("there"), F.col(c)).otherwise(0.0).alias(c)
+    return pairs.select("id").join(sums, "id", "left").select("id", missing("tfidf_wm"), missing("tfidf_wm_stops"))
 
 
 def text_frequency(pairs: DataFrame) -> DataFrame:
@@ -63,8 +67,11 @@ def assign_ids(texts: DataFrame, known: DataFrame, start: int = 538_000) -> Data
     return said.filter("qid IS NOT NULL").unionByName(fresh)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, sweeps: int = 20, cut: int = 5) -> DataFrame:
-    """(node, pr) of a multigraph (src, dst), both directions used, repeats and loops kept; all ranks of a sweep at once."""
+def pagerank(edges: DataFrame, damping: float = 0.85, sweeps: int = 20, cut: int = 1) -> DataFrame:
+    """(node, pr) of a multigraph (src, dst), both directions used, repeats and loops kept; all ranks of a sweep at once.
+
+    Ranks are written every ``cut`` sweeps: a table whose size is known meets the links without a sort where it is small.
+    """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = both.groupBy("src", "dst").agg(F.count("*").alias("n"))
     degree = links.groupBy("src").agg(F.sum("n").alias("deg"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleanup, editdist, lexicon, order, pairs, stem, text, vectors
 from ..operators import ensemble, frames, signals
+from ..sources import store
 from . import models
 
 QUERIES: dict = {}
@@ -29,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +100,7 @@ SELECT s.id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(x.wb / nulli
 def overlap_weighted(spark, sf_dir):
     p = token_pairs(spark, sf_dir)
     counts = signals.word_counts(p, F.col("t1"), F.col("t2"))
-    whole = signals.weighted_match(p, counts, F.col("t1"), F.col("t2"), "tfidf_wm")
-    own = lambda c: F.array_except(c, text.stop_array())
-    part = signals.weighted_match(p, counts, own(F.col("t1")), own(F.col("t2")), "tfidf_wm_stops")
-    return rounded(whole.join(part, "id"))
+    return rounded(signals.weighted_match(p, counts, text.STOPWORDS))
 
 
 _F = """u1 AS (SELECT id, k, count(*) AS n FROM (SELECT id, unnest({0}) AS k FROM tok) GROUP BY id, k),

@@ -36,6 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself where its scan has a task for every core; a scan of fewer pieces is dealt out first, or one core would do all the work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path, schema: str, encoding: str = "UTF-8", columns: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Quoted CSV with a header and line breaks inside quotes. most: rows up to, not including, that many."""
     out = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', encoding=encoding).csv(path)
