@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, ids=False)
+    return packing.pack(docs, ids=False, specials=True)
 
 
 STAGES = [

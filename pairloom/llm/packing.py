@@ -10,13 +10,17 @@ among the rests of its length, which follows from counts by task, so nothing els
 
 A sequence below CAPACITY is padded; none of a power of two is. Null texts count as empty: one id, 0.
 Repeated rows are packed each for itself. Pieces carry a row number of their own beside doc_id, so
-rows with one doc_id stay apart. No other column is looked at. An empty table gives no pieces.
+rows with one doc_id stay apart. No other column is looked at. The string of a special token in a
+text is that token in the registered query and the pipeline; ``pack`` by itself reads it as ordinary
+text unless told ``specials=True``. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,15 @@ from .near_dedup import slices
 CAPACITY = 1024
 #: Places of the tokenizer's files; the same vocabulary as byte_bpe_50k.json, which tests confirm.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Added special tokens of byte_bpe_50k.json: cut out of a text before anything else.
+SPECIALS = {"<|endoftext|>": 50256}
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 _ENCODINGS: dict = {}
 _PIECES = "doc_id long, start long, length long, doc_tokens long, part long, nth long, ids binary, ids_crc32 long"
 
 
 def encoding(path: str | None = None):
-    """The tokenizer, once per process; special tokens' strings in a text are ordinary text."""
+    """The tokenizer of text without special tokens, once per process."""
     if path not in _ENCODINGS:
         import public_tokenizers
         import tiktoken
@@ -46,9 +53,20 @@ def encoding(path: str | None = None):
     return _ENCODINGS[path]
 
 
-def _pieces(capacity: int, path: str | None):
+def encoder(path: str | None = None, specials: bool = False) -> Callable[[str], list[int]]:
+    """From a text to its ids, as tokenizers gives them. specials: whether special tokens' strings are those tokens or ordinary text."""
+    ordinary = encoding(path).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        parts = _SPECIAL.split(text)  # text and special token in turn; each text by itself, as in tokenizers
+        return [x for k, part in enumerate(parts) for x in ((SPECIALS[part],) if k % 2 else ordinary(part))] if len(parts) > 1 else ordinary(text)
+
+    return encode if specials else ordinary
+
+
+def _pieces(capacity: int, path: str | None, specials: bool):
     def run(batches):
-        encode, part = encoding(path).encode_ordinary, TaskContext.get().partitionId()
+        encode, part = encoder(path, specials), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
         for batch in batches:
             for rows in slices(batch):
@@ -136,10 +154,10 @@ def _placed(slots: dict[int, tuple]):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = True, specials: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = slim.mapInArrow(_pieces(capacity, path), _PIECES)
+    pieces = slim.mapInArrow(_pieces(capacity, path, specials), _PIECES)
     pieces = C.materialize(pieces if ids else pieces.drop("ids"))
     counted = C.materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
@@ -161,7 +179,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(C.table(spark, sf_dir, "documents"), ids=False)
+    out = pack(C.table(spark, sf_dir, "documents"), ids=False, specials=True)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pairloom.llm import chat, jpeg, language_id, media, mixing, near_dedup, packing, quality, queries, sharding, substring_dedup, topk
 
 SF = "/root/testdata/sf0.001"
@@ -131,6 +132,20 @@ def test_packing_round_trip(spark):
     assert sorted(seqs) == list(range(len(seqs))) and packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("run", [packing.op3_packing, lambda spark, sf: corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)])
+def test_packing_of_special_tokens(spark, tmp_path, run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> ok", "a  <|endoftext|><|endoftext|>b", "x \n<|endoftext|>", "<|endoftext|", "it's  fine"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert want[0] == [50256, 12876, 0]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in run(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_fullest_subset_is_best():
     rng = random.Random(5)
     for _ in range(60):
