@@ -37,6 +37,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Added special tokens of byte_bpe_50k.json: cut out of a text before anything else.
 SPECIALS = {"<|endoftext|>": 50256}
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
+#: The pattern's search backtracks over a run of blanks and fails at about a million: runs of so many are cut out before.
+LONG = 10_000
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # \s of the pattern, without \x1c to \x1f of Python's
+_RUN = re.compile(f"(?<![{_BLANK}])[{_BLANK}]{{{LONG},}}")
 _ENCODINGS: dict = {}
 _PIECES = "doc_id long, start long, length long, doc_tokens long, part long, nth long, ids binary, ids_crc32 long"
 
@@ -55,7 +59,19 @@ def encoding(path: str | None = None):
 
 def encoder(path: str | None = None, specials: bool = False) -> Callable[[str], list[int]]:
     """From a text to its ids, as tokenizers gives them. specials: whether special tokens' strings are those tokens or ordinary text."""
-    ordinary = encoding(path).encode_ordinary
+    enc = encoding(path)
+
+    def ordinary(text: str) -> list[int]:
+        if len(text) < LONG:
+            return enc.encode_ordinary(text)
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            # one piece of the pattern: all of the run at the end of the text, else all but its last blank
+            end = run.end() - (run.end() < len(text))
+            out += enc.encode_ordinary(text[at : run.start()])
+            out += enc._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + enc.encode_ordinary(text[at:])
 
     def encode(text: str) -> list[int]:
         parts = _SPECIAL.split(text)  # text and special token in turn; each text by itself, as in tokenizers

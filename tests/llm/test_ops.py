@@ -146,6 +146,23 @@ def test_packing_of_special_tokens(spark, tmp_path, run):
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
 
 
+def test_packing_of_long_blank_runs(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = packing.LONG
+    runs = [" " * n, "\n" * (n + 1), "\t \u3000\r\n\x85\xa0" * n, "\x1c" * (n + 1), " " * (n - 1)]
+    texts = [a + r + b for r in runs for a in ("", "x", "it's!") for b in ("", "y", "'s", "1", "<|endoftext|>z", f"y{r}z")]
+    texts += [c * 3_000_000 + b for c in " \n" for b in ("", "end")]
+    encode = packing.encoder(specials=True)
+    for x in texts:
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+    got = packing.pack(docs(spark, [" " * 3_000_000 + "end", "ok"]), ids=False).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()
+    want = [len(t.encode(x, add_special_tokens=False).ids) + 1 for x in (" " * 3_000_000 + "end", "ok")]
+    assert sorted(map(tuple, got)) == [(i, n, n) for i, n in enumerate(want)]
+
+
 def test_fullest_subset_is_best():
     rng = random.Random(5)
     for _ in range(60):
