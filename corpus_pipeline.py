@@ -27,8 +27,8 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = quality.trusted_labels(common.table(spark, sf_dir, "labels"))
-    return _only(docs, quality.classify(docs, labels).filter("kept"))
+    labels = common.table(spark, sf_dir, "labels")
+    return _only(docs, quality.classify(docs, quality.trusted_labels(labels), quality.bad_labels(labels)).filter("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

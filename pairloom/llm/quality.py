@@ -11,10 +11,13 @@ Discounts D1, D2, D3+ of an order follow from its numbers of n-grams seen once t
 n-gram, by context and by suffix, from order 1 up, give the probability of each n-gram asked for; the
 buckets answer the blocks, and a block adds up its documents.
 
-A document is rejected if its perplexity lies above the ``UPPER`` or below the ``LOWER`` quantile of
-trusted documents of its language, widened by ``MARGIN``; languages without trusted documents use the
-quantiles over all. A model knows its own text too well, so one trusted document in ``FOLDS``, by hash
-of its id, is not counted, and the upper quantiles are those of these documents. Documents without text have no perplexity and are kept, as are all if nothing is
+A document is rejected if its perplexity lies above an upper or below a lower quantile of trusted
+documents of its language; languages without trusted documents use the quantiles over all. A model
+knows its own text too well, so one trusted document in ``FOLDS``, by hash of its id, is not counted,
+and the upper quantiles are those of these documents. Which quantiles, of ``UPPERS`` and ``LOWERS``, is
+chosen by the labels: those that decide most labelled documents rightly, where the held-out share
+stands for all trusted ones against the documents labelled bad or toxic, which are never counted.
+Where none is labelled so, they are ``UPPER`` and ``LOWER``. Documents without text have no perplexity and are kept, as are all if nothing is
 trusted. Rows that share a doc_id share labels. Other columns than doc_id, text and lang are not looked at.
 """
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER = 5
-UPPER, LOWER, MARGIN, FOLDS = 0.998, 0.002, 1.05, 4
+UPPER, LOWER, FOLDS = 0.99, 0.002, 4
+UPPERS, LOWERS = (1.0, 0.998, 0.995, 0.99, 0.985, 0.98, 0.97, 0.96, 0.95, 0.93, 0.9, 0.85, 0.8), (0.0, 0.002, 0.005, 0.01, 0.02)
 _FULL = (1 << (8 * ORDER)) - 1
 _SENT = "kind int, bucket int, block int, keys binary, counts binary"
 
@@ -182,15 +186,39 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return out.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "n_bytes", ppl.alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, upper: float = UPPER, lower: float = LOWER, margin: float = MARGIN) -> DataFrame:
-    """A row per input row: doc_id, lang, n_bytes, perplexity, trusted, low, high, kept."""
+def _chosen(rows: DataFrame, uppers: tuple[float, ...], lowers: tuple[float, ...]) -> tuple[int, int]:
+    """Places of the quantiles that decide most labelled rows rightly; of equals, those that keep most."""
+    clean, bad = F.col("trusted") & _held(), F.col("bad") & ~F.col("trusted")
+    at = [(i, j) for i in range(len(uppers)) for j in range(len(lowers))]
+    kept = [F.col("perplexity").between(F.col("ls")[j], F.col("hs")[i]) for i, j in at]
+    counts = [F.count_if(on & k) for k in kept for on in (clean, bad)]
+    all_, held, no, *of = rows.filter("perplexity IS NOT NULL").agg(F.count_if("trusted"), F.count_if(clean), F.count_if(bad), *counts).first()  # a row of counts
+    if not held or not no:
+        return uppers.index(UPPER), lowers.index(LOWER)
+    right = [all_ * c / held - b for c, b in zip(of[::2], of[1::2], strict=True)]
+    return at[right.index(max(right))]
+
+
+def classify(docs: DataFrame, trusted: DataFrame, bad: DataFrame | None = None, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
+    """A row per input row: doc_id, lang, n_bytes, perplexity, trusted, low, high, kept.
+
+    trusted, bad: a column doc_id. With bad documents the quantiles are chosen, else they are upper and lower.
+    """
     rows = C.materialize(perplexities(docs, trusted))
-    cut = lambda df: df.agg(F.percentile_approx("perplexity", lower, 10_000).alias("l"), F.percentile_approx(F.when(_held(), F.col("perplexity")), upper, 10_000).alias("h"))
     known = rows.filter("trusted AND perplexity IS NOT NULL")
+    uppers, lowers = (UPPERS, LOWERS) if bad is not None and not bad.isEmpty() else ((upper,), (lower,))
+    cut = lambda df: df.agg(F.percentile_approx("perplexity", list(lowers), 10_000).alias("l"), F.percentile_approx(F.when(_held(), F.col("perplexity")), list(uppers), 10_000).alias("h"))
     by_lang = cut(known.groupBy("lang")).withColumnRenamed("lang", "of")
-    low, high = cut(known).first()  # two numbers
+    low, high = cut(known).first()  # a few numbers
     rows = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
-    rows = rows.withColumn("low", F.coalesce("l", F.lit(low)) / margin).withColumn("high", F.coalesce("h", F.lit(high)) * margin).drop("l", "h")
+    none = F.lit(None).cast("array<double>")
+    lit = lambda x: none if x is None else F.array(*map(F.lit, x))
+    rows = rows.withColumn("ls", F.coalesce("l", lit(low))).withColumn("hs", F.coalesce("h", lit(high))).drop("l", "h")
+    i = j = 0
+    if len(uppers) > 1:
+        said = bad.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("bad", F.lit(True))
+        i, j = _chosen(rows.join(said, "doc_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False))), uppers, lowers)
+    rows = rows.withColumn("low", F.col("ls")[j]).withColumn("high", F.col("hs")[i]).drop("ls", "hs")
     return rows.withColumn("kept", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
 
 
@@ -198,8 +226,13 @@ def trusted_labels(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
+def bad_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 0 OR toxic = 1").select("doc_id")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classify(C.table(spark, sf_dir, "documents"), trusted_labels(C.table(spark, sf_dir, "labels")))
+    labels = C.table(spark, sf_dir, "labels")
+    out = classify(C.table(spark, sf_dir, "documents"), trusted_labels(labels), bad_labels(labels))
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "high", "kept")
 
 

@@ -262,6 +262,15 @@ def test_quality_on_odd_tables(spark):
     assert kept[1, 0] > 0.97 and kept[0, 0] < 0.5
 
 
+def test_quality_of_unseen_labels(spark):
+    """Thresholds from half of the labels, rates on the other half."""
+    labels, d = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("labels", "documents"))
+    seen, unseen = (labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == k) for k in (0, 1))
+    out = quality.classify(d, quality.trusted_labels(seen), quality.bad_labels(seen)).join(unseen, "doc_id")
+    kept = {(r.quality, r.toxic): round(r.k, 3) for r in out.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[1, 0] > 0.93 and kept[0, 0] < 0.05 and kept[0, 1] < 0.05 and kept[1, 1] < 0.6
+
+
 # --- 6
 
 
