@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,16 +96,46 @@ def with_nodes(pairs: DataFrame, values: DataFrame, left: str, right: str, names
     return pairs
 
 
-def cores(edges: DataFrame, most: int = 20, rounds: int = 200) -> DataFrame:
+def _without_tails(both: DataFrame) -> DataFrame:
+    """The links (src, dst, both directions) of the 2-core.
+
+    A link dangles if src has no other one, or one other, and that dangles into src: by pointer jumping,
+    links learn this in rounds by the logarithm of a chain's length. Nodes with a dangling link go, until none has one.
+    """
+    while True:
+        ends = both.groupBy("src").agg(F.count("*").alias("d"), F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+        other = F.when(F.col("dst") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+        links = materialize(both.join(ends, "src").select("src", "dst", other.alias("a"), F.col("src").alias("b"), (F.col("d") == 1).alias("dangles"), (F.col("d") == 2).alias("open")))
+        if links.filter("dangles").isEmpty():
+            return both
+        reach, n = 1, links.filter("open").count()
+        while reach <= n:  # what is open after that many steps is on a ring
+            to = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("dangles").alias("dangles2"), F.col("open").alias("open2"))
+            ahead = links.filter("open").join(to, ["a", "b"]).select("src", "dst", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("dangles2").alias("dangles"), F.col("open2").alias("open"))
+            links, reach = materialize(links.filter("NOT open").unionByName(ahead)), 2 * reach
+            if links.filter("open").isEmpty():
+                break
+        gone = materialize(links.filter("dangles").select(F.col("src").alias("gone")).distinct())
+        for side in ("src", "dst"):
+            both = both.join(gone, F.col(side) == F.col("gone"), "left_anti")
+        both = materialize(both)
+
+
+def cores(edges: DataFrame, most: int = 20, rounds: int | None = None) -> DataFrame:
     """(node, core) of the simple graph without loops: the largest k, up to ``most``, whose k-core has the node; 0 below 2.
 
-    Every node's bound starts at its degree and falls to the h-index of its neighbours' bounds until
-    none changes. Bounds above ``most`` are alike, so what a node keeps of its neighbours is that many counts.
+    Tails and trees go first. Every other node's bound starts at its degree and falls to the h-index of
+    its neighbours' bounds until none changes; an error if ``rounds``, where given, do not suffice.
+    Bounds above ``most`` are alike, so what a node keeps of its neighbours is that many counts.
     """
     e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     both = materialize(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(e.select("b", "a")))
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    both = _without_tails(both)
     bound = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("h")))
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"bounds still fall after {rounds} rounds")
         seen = both.join(bound.select(F.col("node").alias("dst"), "h"), "dst").groupBy("src").agg(*(F.sum((F.col("h") >= k).cast("long")).alias(f"n{k}") for k in range(1, most + 1)))
         new = F.greatest(*(F.when(F.col(f"n{k}") >= k, k).otherwise(0) for k in range(1, most + 1)), F.lit(0))
         both_bounds = seen.select(F.col("src").alias("node"), new.alias("new")).join(bound, "node").select("node", F.least("new", "h").alias("h"), (F.col("new") < F.col("h")).alias("fell"))
@@ -111,7 +143,7 @@ def cores(edges: DataFrame, most: int = 20, rounds: int = 200) -> DataFrame:
         bound = both_bounds.select("node", "h")
         if both_bounds.filter("fell").isEmpty():
             break
-    return bound.select("node", F.when(F.col("h") >= 2, F.col("h")).otherwise(0).alias("core"))
+    return nodes.join(bound, "node", "left").select("node", F.when(F.col("h") >= 2, F.col("h")).otherwise(0).alias("core"))
 
 
 def word_index(counts: DataFrame, most: int = 200_000) -> DataFrame:

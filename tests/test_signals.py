@@ -37,6 +37,20 @@ def test_cores(spark):
     assert got == brute_cores(edges) and got["a"] == 2 and got["d"] == 0
 
 
+def test_cores_of_long_chains(spark):
+    path = [(f"p{k}", f"p{k + 1}") for k in range(999)]
+    ring = [(f"r{k}", f"r{(k + 1) % 50}") for k in range(50)]
+    tail = [("r0", "t0")] + [(f"t{k}", f"t{k + 1}") for k in range(600)]
+    tree = [(f"b{k}", f"b{(k - 1) // 2}") for k in range(1, 60)] + [("b59", "q0"), ("q0", "q1"), ("s0", "s1")]
+    bell = [(f"{x}{a}", f"{x}{b}") for x in "xy" for a, b in ((0, 1), (1, 2), (2, 0))] + [("x0", "m0"), ("m0", "m1"), ("m1", "y0")]
+    edges = path + ring + tail + tree + bell
+    got = {r.node: r.core for r in signals.cores(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == brute_cores(edges) and got["p500"] == 0 and got["r7"] == 2 and got["m0"] == 2
+    four = [(a, b) for a in "abcd" for b in "abcd" if a < b] + [("d", "e"), ("e", "f"), ("f", "a")]
+    with pytest.raises(RuntimeError):
+        signals.cores(spark.createDataFrame(four, "src string, dst string"), rounds=0)
+
+
 def test_pagerank_keeps_repeats_and_sums_to_one(spark):
     edges = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "c")]
     got = {r.node: r.pr for r in signals.pagerank(spark.createDataFrame(edges, "src string, dst string")).collect()}
