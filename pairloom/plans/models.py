@@ -28,13 +28,40 @@ def _p(df: DataFrame) -> DataFrame:
     return df.select("id", "label", vector_to_array("probability")[1].alias("p"))
 
 
-def boosted(rows: DataFrame, depth: int = 5, rounds: int = 10, step: float = 0.1, subsample: float = 0.6, seed: int = 4242) -> DataFrame:
-    """(id, label, p) of boosted trees that stop early on a tenth of the rows, by hash of id."""
-    rows = materialize(rows.withColumn("weight", class_weight(F.col("label"))).withColumn("stop", hash_share("id", seed) < 0.1))
+def _stopped(losses: list[float], patience: int) -> int | None:
+    """The number of rounds of the least loss, if no better one follows within patience rounds."""
+    best = 0
+    for k, x in enumerate(losses):
+        if x < losses[best]:
+            best = k
+        if k - best >= patience:
+            return best + 1
+    return None
+
+
+def boosted(rows: DataFrame, depth: int = 7, rounds: int = 2500, step: float = 0.02, subsample: float = 0.6, seed: int = 4242, patience: int = 25) -> DataFrame:
+    """(id, label, p) of boosted trees, as many as until the loss on a tenth of the rows, by hash of id, has not fallen for ``patience`` rounds.
+
+    Spark stops at the first round that is not better, so fits of 50, 100, 200, ... rounds are watched
+    from outside: with one seed the first trees of a longer fit are those of a shorter one.
+    """
+    rows = rows.withColumn("weight", class_weight(F.col("label"))).withColumn("stop", hash_share("id", seed) < 0.1)
     inputs = _inputs(rows)
-    model = GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=subsample, seed=seed, weightCol="weight", validationIndicatorCol="stop", featuresCol="x")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="x"), model]).fit(rows)
-    return _p(fitted.transform(rows))
+    rows = materialize(VectorAssembler(inputCols=inputs, outputCol="x").transform(rows).select("id", "label", "weight", "stop", "x"))
+    seen, held = rows.filter("NOT stop"), rows.filter("stop")
+    if held.isEmpty():
+        raise ValueError("no row to stop by")
+    fit = lambda n: GBTClassifier(maxDepth=depth, maxIter=n, stepSize=step, subsamplingRate=subsample, seed=seed, weightCol="weight", featuresCol="x").fit(seen)
+    n = min(2 * patience, rounds)
+    while True:
+        fitted = fit(n)
+        losses = fitted.evaluateEachIteration(held)
+        best = _stopped(losses, patience)
+        if best or n == rounds:
+            break
+        n = min(2 * n, rounds)
+    best = best or 1 + losses.index(min(losses))
+    return _p((fitted if best == n else fit(best)).transform(rows))
 
 
 def importances(fitted, inputs: list[str]) -> list[tuple[str, float]]:
@@ -46,24 +73,30 @@ def perceptron(inputs: int, layers: tuple[int, ...] = (300, 200, 100), seed: int
     return MultilayerPerceptronClassifier(layers=[inputs, *layers, 2], seed=seed, featuresCol="x")
 
 
-def stacked(rows: DataFrame, k: int = 3, seed: int = 4242) -> DataFrame:
+def bases(seed: int = 4242) -> dict:
+    """The stack's base models. Forests grow as deep as Spark lets them."""
+    forest = lambda impurity: RandomForestClassifier(numTrees=100, maxDepth=30, impurity=impurity, seed=seed, weightCol="weight", featuresCol="x")
+    return {
+        "gini": forest("gini"),
+        "entropy": forest("entropy"),
+        "boosted": GBTClassifier(maxIter=50, maxDepth=6, stepSize=0.05, subsamplingRate=0.5, seed=seed, weightCol="weight", featuresCol="x"),
+    }
+
+
+def stacked(rows: DataFrame, k: int = 10, seed: int = 4242) -> DataFrame:
     """(id, label, p): base models predict each fold from the others, and a logistic model blends them."""
     rows = folds(rows.withColumnRenamed("label", "is_duplicate"), k).withColumnRenamed("is_duplicate", "label")
     rows = rows.withColumn("weight", class_weight(F.col("label")))
     inputs = _inputs(rows)
     rows = materialize(VectorAssembler(inputCols=inputs, outputCol="raw").transform(rows).select("id", "label", "weight", "fold", "raw"))
     scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
-    bases = {
-        "gini": RandomForestClassifier(numTrees=10, maxDepth=5, impurity="gini", seed=seed, weightCol="weight", featuresCol="x"),
-        "entropy": RandomForestClassifier(numTrees=10, maxDepth=5, impurity="entropy", seed=seed, weightCol="weight", featuresCol="x"),
-        "boosted": GBTClassifier(maxIter=5, maxDepth=4, seed=seed, weightCol="weight", featuresCol="x"),
-    }
+    models = bases(seed)
     level = rows.select("id", "label", "weight")
-    for name, base in bases.items():
+    for name, base in models.items():
         parts = [Pipeline(stages=[scaler, base]).fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f)) for f in range(k)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         level = level.join(_p(out).select("id", F.col("p").alias(name)), "id")
-    level = materialize(VectorAssembler(inputCols=list(bases), outputCol="x").transform(level))
+    level = materialize(VectorAssembler(inputCols=list(models), outputCol="x").transform(level))
     return _p(LogisticRegression(featuresCol="x", weightCol="weight").fit(level).transform(level))
