@@ -6,13 +6,16 @@ numpy; a word's fingerprint depends on its bytes alone, so every task gives a wo
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import itertools
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +35,15 @@ _OWN_SCRATCH: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where none is named."""
+    """A new folder below the shared one that the cluster names. Where none is named, a local one that goes with the process, and an error on a cluster, whose executors would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_SCRATCH:
-            _OWN_SCRATCH.append(f"file://{tempfile.mkdtemp(prefix='pairloom-')}")
+            own = tempfile.mkdtemp(prefix="pairloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN_SCRATCH.append(f"file://{own}")
         base = _OWN_SCRATCH[0]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -72,48 +79,56 @@ def join2(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         return mix(a * U64(0x9E3779B97F4A7C15) + ((b << U64(29)) | (b >> U64(35))) + U64(salt))
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a buffer."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True])).view(np.int8)))
-    return edge[0::2], edge[1::2]
+#: Masks that keep the first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte ranges."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit fingerprints of byte ranges, independent from seed to seed."""
     n = ends - starts
-    out = mix(n.astype(U64))
-    if not len(n):
-        return out
     padded = np.concatenate((buf, np.zeros(8, np.uint8)))
     eight = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    live, at = np.flatnonzero(n <= _VECTOR_BYTES), 0
-    while len(live := live[n[live] > at] if at else live[n[live] > 0]):
-        left = np.minimum(n[live] - at, 8)
-        got = eight[starts[live] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(U64))
-        out[live] = mix(out[live] ^ got)
+    with np.errstate(over="ignore"):
+        out = mix((eight[starts] & _FIRST[np.minimum(n, 8)]) ^ (n.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64))))
+    live, at = np.flatnonzero((n > 8) & (n <= _VECTOR_BYTES)), 8
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[starts[live] + at] & _FIRST[np.minimum(n[live] - at, 8)]))
         at += 8
+        live = live[n[live] > at]
     for i in np.flatnonzero(n > _VECTOR_BYTES):
-        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        raw = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=str(seed).encode())
+        out[i] = int.from_bytes(raw.digest(), "little")
     return out
 
 
 class Words:
-    """The words of some texts, one after the other: fingerprints ``h``, the row ``doc`` of each, its place ``pos`` in the row."""
-
-    def __init__(self, texts: pa.Array, lower: bool = False):
-        raw = [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
-        sizes = np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw))
-        self.data = b"\n".join(raw) + b"\n"
-        self.buf = np.frombuffer(self.data, np.uint8)
-        shown = self.buf
+    """The words of some texts, one after the other: fingerprints ``h``, the row ``doc`` of each, its place ``pos`` in the row.
+
+    ``buf`` holds the texts' bytes without a gap; a text's end also ends its last word. ``first`` is the
+    first word of each text (and the number of all), ``count`` a text's number of words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, hashed: bool = True):
+        raw = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = len(raw)
+        at = np.frombuffer(raw.buffers()[1], np.int64, size + 1, 8 * raw.offset) if size else np.zeros(1, np.int64)
+        data = raw.buffers()[2] if size else None
+        self.buf = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        at = at - at[0]
         if lower:
-            shown = np.where((shown >= 65) & (shown <= 90), shown + np.uint8(32), shown)
-        self.starts, self.ends = word_spans(shown)
-        self.h = span_hashes(shown, self.starts, self.ends)
-        self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(sizes))))
+            self.buf = np.where((self.buf >= 65) & (self.buf <= 90), self.buf + np.uint8(32), self.buf)
+        blank = np.flatnonzero(_SPACE[self.buf])
+        starts, ends = np.concatenate((blank + 1, at[:-1])), np.concatenate((blank, at[1:]))
+        starts.sort(kind="stable")
+        ends.sort(kind="stable")
+        some = ends > starts
+        self.starts, self.ends = starts[some], ends[some]
+        self.first = np.searchsorted(self.starts, at)
         self.count = np.diff(self.first)
-        self.doc = np.repeat(np.arange(len(raw)), self.count)
-        self.pos = np.arange(len(self.h)) - np.repeat(self.first[:-1], self.count)
+        self.doc = np.repeat(np.arange(size, dtype=np.int32), self.count)
+        self.pos = (np.arange(len(self.starts)) - np.repeat(self.first[:-1], self.count)).astype(np.int32)
+        if hashed:
+            self.h = span_hashes(self.buf, self.starts, self.ends)
 
     def grams(self, width: int, salt: int = 0) -> np.ndarray:
         """Names of the ``width`` words from each word on; the last ``width`` - 1 of a row reach into the next, or are cut off at the end."""
@@ -153,14 +168,46 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of whole numbers, first all lowest ones, then the next: small numbers leave planes of zeros, which compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def numbers(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+
+
+def pack_ascending(x: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending numbers as differences, and other arrays."""
+    return pack(planes(np.diff(x, prepend=U64(0))), *more)
+
+
+def unpack_ascending(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    steps, *more = unpack(blob)
+    return np.cumsum(numbers(steps), dtype=U64), more
+
+
 # --- blocks: texts by a hash of their key, so that what is said about a block reaches the same rows again
 
+#: Bytes of text in a block, about: what a task holds at once, whatever the size of the table.
+BLOCK_BYTES = 8 << 20
+
+
+def blocks_of(docs: DataFrame) -> int:
+    """How many blocks the column text needs; two for each shuffle partition at least."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+
+
+def dealt(df: DataFrame, blocks: int, by: str = "block") -> DataFrame:
+    """Rows by block (or bucket), a task for every two of them."""
+    return df.repartition(-(-blocks // 2), by)
+
 
-def blocked(docs: DataFrame, columns: list[str], per_partition: int = 2) -> DataFrame:
+def blocked(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:
     """The columns and ``block``, dealt by it. The block follows from doc_id alone, so a task that runs again finds the same rows."""
-    n = partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(per_partition * n)).cast("int").alias("block")
-    return docs.select(block, *columns).repartition(n, "block")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    return dealt(docs.select(block, *columns), blocks)
 
 
 #: Bytes that a task holds before it sends its parts of blocks.
@@ -193,11 +240,10 @@ def _block_parts(batches):
     yield from sent()
 
 
-def blocked_tight(docs: DataFrame, columns: list[str], per_partition: int = 2) -> DataFrame:
+def blocked_tight(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:
     """As blocked, but rows travel as compressed parts of blocks: (block, payload). unblocked() opens them."""
-    n = partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(per_partition * n)).cast("int").alias("block")
-    return docs.select(block, *columns).mapInArrow(_block_parts, "block int, payload binary").repartition(n, "block")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    return dealt(docs.select(block, *columns).mapInArrow(_block_parts, "block int, payload binary"), blocks)
 
 
 def unblocked(rows: pa.Table) -> pa.Table:
@@ -206,7 +252,9 @@ def unblocked(rows: pa.Table) -> pa.Table:
 
 def in_order(rows: pa.Table) -> pa.Table:
     """The rows by doc_id and text, whatever order they came in."""
-    return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    ids = column(rows, "doc_id")
+    keys = ["doc_id"] if len(pc.unique(ids)) == len(ids) else ["doc_id", "text"]
+    return rows.sort_by([(k, "ascending") for k in keys]).combine_chunks()
 
 
 def column(rows: pa.Table, name: str) -> pa.Array:
@@ -215,8 +263,8 @@ def column(rows: pa.Table, name: str) -> pa.Array:
 
 
 def spread(keys: np.ndarray, buckets: int):
-    """(bucket, places of its keys in their order) for each bucket that has any; the bucket follows from the key's high bits."""
-    b = ((keys >> U64(40)) % U64(buckets)).astype(np.int64)
+    """(bucket, places of its keys in their order) for each bucket that has any."""
+    b = (keys % U64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     cut = np.flatnonzero(np.diff(b[order])) + 1
     for part in np.split(order, cut) if len(order) else ():

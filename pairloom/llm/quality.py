@@ -169,14 +169,14 @@ def _held() -> Column:
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """A row per input row: doc_id, lang, n_bytes, perplexity, trusted. trusted: a column doc_id."""
-    n = C.partitions(docs.sparkSession)
-    buckets = n
+    blocks = C.blocks_of(docs)
+    buckets = max(C.partitions(docs.sparkSession), blocks // 2)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    block = C.blocked_tight(slim, ["doc_id", "text", "lang"])
+    block = C.blocked_tight(slim, ["doc_id", "text", "lang"], blocks)
     good = C.materialize(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    sent = C.materialize(block.groupBy("block").cogroup(C.blocked(good.filter(~_held()), ["doc_id"]).groupBy("block")).applyInArrow(_ask(buckets), _SENT))
-    grams = C.materialize(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_merged, "key long, n long"))
+    sent = C.materialize(block.groupBy("block").cogroup(C.blocked(good.filter(~_held()), ["doc_id"], blocks).groupBy("block")).applyInArrow(_ask(buckets), _SENT))
+    grams = C.materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, "key long, n long"))
     place = F.pmod(F.col("key") + F.shiftright("key", 13) * 31, F.lit(buckets)).cast("int").alias("bucket")
     asked = sent.filter("kind = 1").groupBy("bucket")
     told = asked.cogroup(scores(grams).select(place, "key", "logp").groupBy("bucket")).applyInArrow(_answer, "block int, bucket int, payload binary")
