@@ -4,13 +4,14 @@ A text's features are the square roots of the shares of its hashed byte n-grams
 of A-Z lower-cased), ``SIZE`` of them, and a constant. Families come from ``FAMILIES`` (languages that
 are not named there form families of their own). A one-versus-one vote of machines tells families
 apart, and another such vote the languages within the family that won; each machine is trained with
-squared hinge loss by Newton steps on a bounded sample, at most ``PER_LANGUAGE`` texts of each
-language (those of smallest hash of their id, ``SAMPLE_CHARS`` characters each; the bound is a
-parameter of training only). Predictions read whole texts.
+squared hinge loss by Newton steps on a bounded sample, at most ``PER_LANGUAGE`` whole texts of each
+language (those of smallest hash of their id; the bound is a parameter of training only). Features are
+made where the texts lie, so the driver gets ``SIZE`` numbers a sampled text, however long it is.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text if nothing was
 labelled. The score is the logistic function of the smallest margin that the language won by, times the
-family's. Ties go to the name that sorts first. Rows are predicted each by their own text.
+family's. Ties go to the name that sorts first. Rows are predicted each by their own text; other columns
+are not looked at. A row without doc_id is not learned from, and counts as held out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .near_dedup import slices
 
-SIZE, PER_LANGUAGE, SAMPLE_CHARS = 2048, 400, 20_000
+SIZE, PER_LANGUAGE = 2048, 400
 #: Languages by family: fixed values.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -87,11 +88,10 @@ def _pairs(x: np.ndarray, names: np.ndarray) -> tuple[list[str], list[tuple[int,
     return labels, pairs, np.array(rows).reshape(len(pairs), x.shape[1])
 
 
-def train(texts: list[str], langs: list[str]) -> dict:
-    """The families' machines, and those of each family."""
-    x, names = features([t.encode() for t in texts]), np.array(langs, object)
-    kin = np.array([family(v) for v in langs], object)
-    return {"families": _pairs(x, kin), "within": {f: _pairs(x[kin == f], names[kin == f]) for f in set(kin)}} if len(texts) else {}
+def train(x: np.ndarray, langs: list[str]) -> dict:
+    """The families' machines, and those of each family, from rows of features."""
+    names, kin = np.array(langs, object), np.array([family(v) for v in langs], object)
+    return {"families": _pairs(x, kin), "within": {f: _pairs(x[kin == f], names[kin == f]) for f in set(kin)}} if len(langs) else {}
 
 
 def _vote(x: np.ndarray, machines) -> tuple[np.ndarray, np.ndarray]:
@@ -126,18 +126,27 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     return lang, score
 
 
+def _sampled(batches):
+    for batch in batches:
+        for part in slices(batch):
+            x = features([t.encode() for t in part.column("text").to_pylist()]).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "h": part.column("h"), "x": pa.array([row.tobytes() for row in x], pa.binary())})
+
+
 def identify(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """A row per input row: doc_id, lang_pred, score. labelled: text and lang (not null), of which a bounded sample is learned from."""
-    known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    known = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     share = {r.lang: min(1.0, 1.3 * per_language / r["count"]) for r in known.groupBy("lang").count().collect()}  # a row per language
+    got: list = []
     if share:
         part = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
         drawn = known.filter(F.pmod("h", F.lit(1_000_000)) < part * 1_000_000)  # about 1.3 times as many as are used
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-        got = drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).orderBy("lang", "h", "text").collect()
-    else:
-        got = []
-    model = docs.sparkSession.sparkContext.broadcast(train([r.text for r in got], [r.lang for r in got]))
+        drawn = drawn.select("lang", "h", "text").mapInArrow(_sampled, "lang string, h long, x binary")
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))
+        got = drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "h", "x").collect()
+        got = sorted((r.lang, r.h, bytes(r.x)) for r in got)
+    x = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), SIZE + 1).astype(np.float64)
+    model = docs.sparkSession.sparkContext.broadcast(train(x, [r[0] for r in got]))
 
     def run(batches):
         for batch in batches:
@@ -153,4 +162,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     out = identify(docs, docs.filter(~held))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held, F.lit(True)).alias("held_out"), "lang_pred", "score")
