@@ -153,6 +153,17 @@ def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, t
     return {n: tuple(np.array(c, np.int64) for c in zip(*x, strict=True)) for n, x in by.items()}
 
 
+def _by_length(capacity: int):
+    """One row per task: the number of its first piece of each length."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        base = np.zeros(capacity + 1, np.int64)
+        base[rows.column("length").to_numpy()] = rows.column("base").to_numpy()
+        return pa.table({"part": rows.column("part").slice(0, 1), "base": pa.array([base], pa.list_(pa.int64()))})
+
+    return run
+
+
 def _placed(slots: dict[int, tuple]):
     def run(batches):
         for batch in batches:
@@ -187,9 +198,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids
     spans = spans.select("length", "span", F.coalesce(over, F.lit(0)).alias("before"))
     own = F.expr("sum(n) OVER (PARTITION BY length, span ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     base = counted.withColumn("span", span).select("length", "span", "part", F.coalesce(own, F.lit(0)).alias("inside")).join(spans, ["length", "span"])
-    base = C.materialize(base.select("part", "length", (F.col("before") + F.col("inside")).alias("base")))
+    base = base.select("part", "length", (F.col("before") + F.col("inside")).alias("base")).groupBy("part").applyInArrow(_by_length(capacity), "part long, base array<long>")
     names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", *(["ids"] if ids else [])]
-    numbered = pieces.join(base, ["part", "length"]).select(*names, (F.col("base") + F.col("nth")).alias("number"))
+    first = F.element_at("base", (F.col("length") + 1).cast("int"))
+    numbered = pieces.join(C.materialize(base), "part").select(*names, (first + F.col("nth")).alias("number"))
     kinds = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)
     return numbered.mapInArrow(_placed(slots), f"{kinds}, sequence_id long, offset long")
 
