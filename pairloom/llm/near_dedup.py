@@ -16,8 +16,9 @@ one other of its buckets, by sets, and linked classes merge; buckets within one
 ``STARS`` rounds the buckets that still hold several groups are settled in whole: buckets of up to
 ``SMALL`` classes list their pairs of different groups, larger ones compare them in tiles of ``TILE``
 elements, each pair in the first bucket that it shares only. A sketch of ``BINS`` bins (the first
-element of each) passes a pair on to the full sets unless its estimate lies more than five standard
-deviations below the threshold. No pair within a group is listed.
+element of each) passes a pair on to the full sets unless its estimate lies more than ``DEVIATIONS``
+standard deviations below the threshold, which a true link does with a chance of some 1e-12. No pair
+within a group is listed.
 
 Elements are 52-bit fingerprints of words; two elements of one pair of documents of 1,000 words share
 one with a chance of 1e-10. Null and empty texts have an empty set; rows with one doc_id are each
@@ -36,7 +37,7 @@ from . import common as C
 from .components import components
 
 HALVES, EACH, STARS = 8, 2, 2
-SMALL, BINS = 24, 256
+SMALL, BINS, DEVIATIONS = 24, 256, 8
 #: Elements of the sets in a tile, and its classes, about.
 TILE, TILE_ROWS = 1_000_000, 4096
 _SLOTS = [f"h{i}" for i in range(2 * HALVES)]
@@ -119,7 +120,7 @@ def _near(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     """Whether the sketches in the rows of a are near those in b (or the one b)."""
     seen = ((a > 0) | (b > 0)).sum(axis=-1)
     same = ((a == b) & (a > 0)).sum(axis=-1)
-    return same >= seen * limit - 5 * np.sqrt(np.maximum(seen, 1) * limit * (1 - limit)) - 1
+    return same >= seen * limit - DEVIATIONS * np.sqrt(np.maximum(seen, 1) * limit * (1 - limit)) - 1
 
 
 def _full_sets(width: int):
