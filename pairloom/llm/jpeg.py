@@ -1,9 +1,11 @@
 """Progressive JPEG (ITU-T T.81, 8 bits, Huffman) in numpy: scans into coefficient arrays, and arrays into scans.
 
-``decode`` reads any such file of one to three components: each scan adds to arrays of coefficients
-(blocks in raster order, zigzag order within a block), by spectral selection and successive
-approximation. A scan whose code table has one code has codes of one length throughout, and is read
-as a matrix of bits; so are the correction bits of runs of whole blocks. Other scans are read code by code.
+``decode`` reads such a file of one component, or of three as luma and chroma: each scan adds to arrays of
+coefficients (blocks in raster order, zigzag order within a block), by spectral selection and successive
+approximation. Restart intervals hold in every scan, fill bytes may stand before any marker; a file that
+is not progressive is refused. A scan whose code table has one code has codes of one length throughout,
+and is read as a matrix of bits; so are the correction bits of runs of whole blocks. Other scans are read
+code by code.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ import numpy as np
 
 #: Zigzag order of an 8 x 8 block's coefficients: from the sums of row and column, alternating direction.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
-_MARK = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+#: A marker that ends a scan, and those between a scan's restart intervals, with fill bytes before them.
+_MARK, _RESTART = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]"), re.compile(rb"\xff+[\xd0-\xd7]")
 _SHIFT = 14
 
 
@@ -98,10 +101,10 @@ def _signed(v: np.ndarray, n: int) -> np.ndarray:
     return np.where(v >> (n - 1) if n else 0, v, v - (1 << n) + 1) if n else v
 
 
-def _dc_first(bits: _Bits, orders: list[np.ndarray], units: list[int], coefs: list[np.ndarray], tables: list[dict], low: int, restart: int) -> None:
+def _dc_first(bits: _Bits, orders: list[np.ndarray], units: list[int], coefs: list[np.ndarray], tables: list[dict], low: int) -> None:
     """orders: the blocks of each component as the scan has them; units: how many of them an MCU has."""
     mcus = len(orders[0]) // units[0]
-    if not restart and len({frozenset(t.items()) for t in tables}) == 1 and len(tables[0]) == 1 and (1, 0) in tables[0]:
+    if len({frozenset(t.items()) for t in tables}) == 1 and len(tables[0]) == 1 and (1, 0) in tables[0]:
         n = tables[0][1, 0]
         got = _matrix(bits, mcus * sum(units), 1 + n).reshape(mcus, sum(units))
         at = 0
@@ -112,8 +115,6 @@ def _dc_first(bits: _Bits, orders: list[np.ndarray], units: list[int], coefs: li
         return
     before = [0] * len(orders)
     for m in range(mcus):
-        if restart and m and m % restart == 0:
-            bits.at, before = -(-bits.at // 8) * 8, [0] * len(orders)
         for k, (order, u) in enumerate(zip(orders, units, strict=True)):
             for b in order[m * u : (m + 1) * u]:
                 n = bits.symbol(tables[k])
@@ -182,10 +183,33 @@ def _ac_refined(bits: _Bits, order: np.ndarray, c: np.ndarray, table: dict, lo:
         i += 1
 
 
+def _scanned(bits: _Bits, chosen: list, orders: list[np.ndarray], units: list[int], tables: dict, bounds: tuple) -> None:
+    """One scan, or what lies between two of its restarts."""
+    lo, hi, high, low = bounds
+    coefs = [p["coefs"] for p, _ in chosen]
+    if lo == 0 and not high:
+        _dc_first(bits, orders, units, coefs, [tables[t >> 4] for _, t in chosen], low)
+    elif lo == 0:
+        mcus = len(orders[0]) // units[0]
+        got = _matrix(bits, mcus * sum(units), 1).reshape(mcus, sum(units)) << low
+        n = 0
+        for c, order, u in zip(coefs, orders, units, strict=True):
+            c[order, 0] |= got[:, n : n + u].ravel()
+            n += u
+    elif not high:
+        _ac_first(bits, orders[0], coefs[0], tables[0x10 | (chosen[0][1] & 15)], lo, hi, low)
+    else:
+        _ac_refined(bits, orders[0], coefs[0], tables[0x10 | (chosen[0][1] & 15)], lo, hi, low)
+
+
 def decode(data: bytes) -> dict:
     """height, width, comment, and of each component: its sampling factors, blocks across, quantisation, coefficients (n, 64)."""
     at, tables, quant, out, restart = 2, {}, {}, {"comment": b""}, 0
-    while data[at + 1] != 0xD9:
+    while True:
+        while data[at + 1] == 0xFF:
+            at += 1
+        if data[at + 1] == 0xD9:
+            break
         mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -204,6 +228,8 @@ def decode(data: bytes) -> dict:
                 n = sum(body[1:17])
                 tables[body[0]] = _codes(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC2, 0xC8, 0xCC):
+            raise ValueError("not a progressive JPEG with Huffman codes")
         elif mark == 0xC2:
             out["height"], out["width"] = struct.unpack(">HH", body[1:5])
             parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
@@ -215,11 +241,8 @@ def decode(data: bytes) -> dict:
             chosen = [(next(p for p in out["parts"] if p["id"] == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
             lo, hi, approx = body[1 + 2 * body[0] : 4 + 2 * body[0]]
             end = _MARK.search(data, at).start()
-            raw = data[at:end].replace(b"\xff\x00", b"\xff")
-            if restart:
-                raw = re.sub(rb"\xff[\xd0-\xd7]", b"", data[at:end]).replace(b"\xff\x00", b"\xff")
-            bits, at = _Bits(raw), end
-            high, low = approx >> 4, approx & 15
+            spans = _RESTART.split(data[at:end]) if restart else [data[at:end]]
+            at, high, low = end, approx >> 4, approx & 15
             across, down = out["mcus"]
             orders, units = [], []
             for p, _ in chosen:
@@ -230,20 +253,9 @@ def decode(data: bytes) -> dict:
                 else:
                     orders.append(grid[: p["own"][1], : p["own"][0]].ravel())
                     units.append(1)
-            coefs = [p["coefs"] for p, _ in chosen]
-            if lo == 0 and not high:
-                _dc_first(bits, orders, units, coefs, [tables[t >> 4] for _, t in chosen], low, restart)
-            elif lo == 0:
-                mcus = len(orders[0]) // units[0]
-                got = _matrix(bits, mcus * sum(units), 1).reshape(mcus, sum(units)) << low
-                n = 0
-                for c, order, u in zip(coefs, orders, units, strict=True):
-                    c[order, 0] |= got[:, n : n + u].ravel()
-                    n += u
-            elif not high:
-                _ac_first(bits, orders[0], coefs[0], tables[0x10 | (chosen[0][1] & 15)], lo, hi, low)
-            else:
-                _ac_refined(bits, orders[0], coefs[0], tables[0x10 | (chosen[0][1] & 15)], lo, hi, low)
+            for k, span in enumerate(spans):  # each starts anew, on a whole byte
+                own = [o[k * restart * u : (k + 1) * restart * u] for o, u in zip(orders, units, strict=True)] if restart else orders
+                _scanned(_Bits(span.replace(b"\xff\x00", b"\xff")), chosen, own, units, tables, (lo, hi, high, low))
     for p in out["parts"]:
         p["quant"] = quant[p["quant"]]
     return out
