@@ -2,8 +2,8 @@
 
 The model is over the bytes of the UTF-8 text, ``ORDER`` at a time (texts start with ORDER - 1 start
 marks, byte 1); words of running text are too rare for counts of word runs to say much. Trusted are the
-documents labelled of good quality and not toxic. All their text is counted, and all n-grams that the
-corpus asks for are scored; nothing is sampled.
+documents labelled of good quality and not toxic. All n-grams that the corpus asks for are scored, and
+all text of the trusted documents is counted but for those held out (below); nothing is sampled.
 
 Counts and scores are sharded: blocks of documents send their distinct n-grams, with counts where the
 text is trusted, to buckets of n-grams; buckets add up. Lower orders count distinct left extensions.
@@ -18,13 +18,15 @@ and the upper quantiles are those of these documents. Which quantiles, of ``UPPE
 chosen by the labels: those that decide most labelled documents rightly, where the held-out share
 stands for all trusted ones against the documents labelled bad or toxic, which are never counted.
 Where none is labelled so, they are ``UPPER`` and ``LOWER``. Documents without text have no perplexity and are kept, as are all if nothing is
-trusted. Rows that share a doc_id share labels. Other columns than doc_id, text and lang are not looked at.
+trusted. Rows that share a doc_id share labels; a row without one is never trusted. A byte 1 in a text reads
+as a start mark. Other columns than doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def _ask(buckets: int):
             block = rows.column("block")[0].as_py()
             rows = C.unblocked(rows)
             keys, n = _grams(C.column(rows, "text"))
-            good = np.isin(rows.column("doc_id").to_numpy(), trusted.column("doc_id").to_numpy())
+            good = pc.is_in(C.column(rows, "doc_id"), value_set=C.column(trusted, "doc_id").drop_null()).to_numpy(zero_copy_only=False)
             seen, count = np.unique(keys[np.repeat(good, n)], return_counts=True)
             asked = np.unique(keys)
             found = [(0, b, block, _deltas(seen[p]), C.pack(count[p].astype(np.uint32))) for b, p in _dealt(seen, buckets)]
