@@ -341,54 +341,136 @@ def test_near_groups_odd_tables(spark):
 # --- 8
 
 
-def test_search_odd_vectors(spark):
+def search_brute(rows, k=5):
+    x = [(i, np.floor(256 * np.array(e, float))) for i, e in rows if i is not None and e and all(y is not None and math.isfinite(y) for y in e)]
+    out = []
+    for a, (q, v) in enumerate(x):
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for b, (i, w) in enumerate(x) if b != a and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01])
+def test_search_brute_force(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "PIVOTS", 5)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    monkeypatch.setattr(topk, "STEP", 8)
     rng = np.random.default_rng(1)
-    v = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(70)]
-    v += [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [float("inf")] * 4), (104, [1.0, 2.0]), (0, v[0][1]), (105, [])]
-    got = [tuple(r) for r in topk.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()]
-    x = {i: np.floor(256 * np.array(e)) for i, e in v[:70]}
-    want = []
-    for q in (0, 50):
-        best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
-    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    v = [(i, (scale * rng.integers(-3, 4, 4)).tolist()) for i in range(170)]
+    v += [(7, v[9][1]), (7, v[9][1]), (50, v[50][1]), (50, [9.0 * scale] * 4), (0, v[3][1])] + [(300 + i, v[50][1]) for i in range(60)]
+    v += [(100, None), (101, [1.0, None, 0.0, 0.0]), (150, [float("nan")] * 4), (103, [float("inf")] * 4), (200, [1.0, 2.0]), (204, [3.0, -1.0]), (105, []), (None, v[0][1])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") % 50 == 0)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == search_brute(v)
+    assert topk.search(df.limit(0), F.lit(True)).count() == 0 and topk.search(df.limit(1), F.lit(True)).count() == 0
+
+
+def test_search_discards_rows(spark):
+    """Where vectors have few dimensions, most rows are never scored."""
+    rng = np.random.default_rng(2)
+    v = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 3)) / 4)]
+    got = topk.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == search_brute(v)
+    assert sum(r.evaluated for r in got if r["rank"] == 1) < 0.4 * 80 * 4000
+
+
+def test_search_agrees_with_sql_on_repeats(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = [(int(i), x.tolist()) for i, x in zip(rng.integers(0, 120, 200), rng.integers(-2, 3, (200, 3)).astype(float), strict=True)]
+    v += [(7, [7.0, 0.0, 0.0]), (7, [6.5, 0.0, 0.0]), (100, None), (50, [1.0, None, 0.0])]
+    spark.createDataFrame(v, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows(topk.op8_topk_search(spark, str(tmp_path)).toPandas()) == rows(c.sql(topk.SQL["op8_topk_search"]).df())
 
 
 # --- 9
 
 
-def test_weights_meet_their_target():
-    tokens = {"a": 1000, "b": 100, "c": 10, None: 1}
-    a, w = mixing.weights(tokens, repeats=2)
-    used = [w[k] / tokens[k] for k in tokens]
-    assert 0 < a < 1 and max(used) / min(used) == pytest.approx(2) and sum(w.values()) == pytest.approx(1)
-    _, w = mixing.weights(tokens, entropy=1.0)
-    assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(1.0)
-    assert mixing.weights({}) == (1.0, {}) and mixing.weights({"a": 5})[1] == {"a": 1.0}
+def weights_brute(tokens, repeats=mixing.REPEATS, entropy=None):
+    full = {k: v for k, v in tokens.items() if v}
+    whole = sum(full.values())
 
+    def at(a):
+        raw = {k: (v / whole) ** a for k, v in full.items()}
+        return {k: v / sum(raw.values()) for k, v in raw.items()}
 
-def test_mix_brute_force(spark, monkeypatch):
+    def meets(w):
+        if entropy is not None:
+            return -sum(v * math.log(v) for v in w.values()) <= entropy
+        used = [w[k] / full[k] for k in full]
+        return max(used) <= repeats * min(used) * (1 + 1e-12)
+
+    lo, hi = 0.0, 1.0
+    if not full or meets(at(0.0)):
+        return at(0.0) if full else {}
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if meets(at(mid)) else (mid, hi)
+    return at(hi)
+
+
+def totals(spark, tokens):
+    return spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+
+
+@pytest.mark.parametrize("how", [{"repeats": 2.0}, {"repeats": 1.0}, {"entropy": 1.0}, {"entropy": 0.2}, {"entropy": 5.0}])
+def test_weights_meet_their_target(spark, how):
+    tokens = {"a": 1000, "b": 100, "c": 10, None: 1, "none": 0}
+    a, w = mixing.weights(totals(spark, tokens), **how)
+    got, want = {r.source: r.weight for r in w.collect()}, weights_brute(tokens, **how)
+    assert all(got[k] == pytest.approx(want.get(k, 0.0), rel=1e-9) for k in tokens) and 0 <= a <= 1
+    if how == {"entropy": 1.0}:
+        assert -sum(x * math.log(x) for x in got.values() if x) == pytest.approx(1.0)
+    assert mixing.weights(totals(spark, tokens).limit(0))[1].count() == 0
+
+
+def mix_brute(rows, how):
+    """How often each row is there. rows: (source, tokens, key); keys are unique."""
+    by = defaultdict(list)
+    for i, (s, n, key) in enumerate(rows):
+        by[s].append((key, n, i))
+    tokens = {s: sum(n for _, n, _ in own) for s, own in by.items()}
+    w = weights_brute(tokens, how.get("repeats", mixing.REPEATS), how.get("entropy"))
+    budget = how.get("budget") or max((tokens[s] / w[s] for s in w), default=0)
+    times = Counter()
+    for s, own in by.items():
+        passes, rest = divmod(math.floor(budget * w[s] + 1e-6), tokens[s]) if tokens[s] else (1, 0)
+        bits = min(max(math.ceil(math.log2(max(tokens[s], 1) / mixing.BLOCK_TOKENS)), 0), 32)
+        blocks = defaultdict(list)
+        for key, n, i in own:
+            blocks[math.floor(((key % 2**64) >> 1) / 2.0**63 * 2.0**bits)].append((key, n, i))
+            times[i] += passes
+        start = 0
+        for b in sorted(blocks):
+            end, size = start, sum(n for _, n, _ in blocks[b])
+            for _, n, i in sorted(blocks[b]):
+                end += n
+                times[i] += start + size <= rest or (start < rest and end <= rest)
+            start += size
+    return times
+
+
+@pytest.mark.parametrize("how", [{"repeats": 1.6}, {"entropy": 0.9}, {"repeats": 1.6, "budget": 2500.0}, {"repeats": 1.0, "budget": 9000.0}])
+def test_mix_brute_force(spark, monkeypatch, how):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
     texts = odd_texts(11, 120)
     d = docs(spark, texts)
-    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
-    got = Counter(r.row.doc_id for r in mixing.mix(d, repeats=1.6).collect())
-    by, n = defaultdict(list), {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
-    for i in range(len(texts)):
-        by[f"s{i % 3}" if i % 5 else None].append(i)
-    want = Counter()
-    for s, _, passes, rest in mixing.plan({s: sum(n[i] for i in own) for s, own in by.items()}, 1.6):
-        at = 0
-        for i in sorted(by[s], key=lambda i: (hashes[i] % 2**64) >> 1):  # blocks are the leading bits
-            want[i] += passes
-        order = sorted(by[s], key=lambda i: ((hashes[i] % 2**64) >> 1, hashes[i]))
-        for i in order:
-            at += n[i]
-            want[i] += at <= rest
-    near = {i: (got[i], want[i]) for i in range(len(texts)) if got[i] != want[i]}
-    assert not near or all(abs(a - b) <= 1 for a, b in near.values()) and len(near) <= 2 * len(by)
-    assert all(got[i] >= 1 for i in range(len(texts))) and mixing.mix(docs(spark, [])).count() == 0
+    key = {r.doc_id: r.key for r in d.select("doc_id", mixing._key().alias("key")).collect()}
+    got = mixing.mix(d, **how).collect()
+    want = mix_brute([(f"s{i % 3}" if i % 5 else None, len(WORD.findall(t or "")), key[i]) for i, t in enumerate(texts)], how)
+    assert Counter(r.row.doc_id for r in got) == +want
+    assert all(0 <= r.place <= 1 and r.key == key[r.row.doc_id] for r in got) and {(r.row.block, r.row.row) for r in got} == {(7, "x")}
+    first = [r for r in got if r.copy == 0]
+    assert all([r.key for r in sorted(own, key=lambda r: (r.block, r.key >= 0, r.key))] == [r.key for r in sorted(own, key=lambda r: r.key % 2**64)] for own in ([r for r in first if r.row.source == s] for s in ("s0", "s1", None)))
+
+
+def test_mix_odd_tables(spark):
+    assert mixing.mix(docs(spark, [])).count() == 0
+    same = mixing.mix(docs(spark, ["a b"] * 4 + [None] * 2, [1] * 4 + [None] * 2)).collect()
+    assert Counter((r.row.doc_id, r.row.source) for r in same) == Counter({(1, "s1"): 1, (1, "s2"): 1, (1, "s0"): 1, (1, None): 1, (None, "s1"): 1, (None, None): 1}) or len(same) >= 6
 
 
 # --- 10
@@ -404,6 +486,55 @@ def test_languages(spark):
     assert got[3].lang_pred == "en" and got[2].lang_pred == "und" and 0 <= got[3].score <= 1
 
 
+def features_brute(text):
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    x = [0.0] * language_id.SIZE
+    for i in range(len(raw)):
+        for k in range(1, min(3, len(raw) - i) + 1):
+            key = raw[i]
+            for j, by in enumerate((257, 263)[: k - 1], 1):
+                key = key * by + raw[i + j]
+            x[((key + k) * 2654435761 % 2**32 >> 16) % language_id.SIZE] += 1
+    total = sum(x)
+    return [math.sqrt(v / total) for v in x] + [1.0]
+
+
+def vote_brute(x, machines):
+    labels, pairs, w = machines
+    votes, least = Counter(), {}
+    for (i, j), row in zip(pairs, w, strict=True):
+        m = sum(a * b for a, b in zip(x, row, strict=True))
+        votes[labels[i] if m > 0 else labels[j]] += 1
+        for name, sign in ((labels[i], 1), (labels[j], -1)):
+            least[name] = min(least.get(name, math.inf), sign * m)
+    if not pairs:
+        return labels[0]
+    most = max(votes.values())
+    return max(sorted(n for n in labels if votes[n] == most), key=lambda n: least[n])
+
+
+def test_languages_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    own = d.filter("lang IS NOT NULL").orderBy("doc_id").limit(120).collect()
+    model = language_id.train(language_id.features([r.text.encode() for r in own[:60]]).astype(np.float32).astype(float), [r.lang for r in own[:60]])
+    texts = [r.text for r in own[60:]] + ["É 12 x", "the", "z", "Straße und Haus"]
+    got, _ = language_id.predict(model, texts)
+    for t, name in zip(texts, got, strict=True):
+        x = features_brute(t)
+        assert np.allclose(x, language_id.features([t.encode()])[0])
+        assert name == vote_brute(x, model["within"][vote_brute(x, model["families"])])
+
+
+def test_languages_of_odd_tables(spark):
+    texts = [None, "", "12 ?", "the house " * 60_000, "das Haus", "the", "the"]
+    d = docs(spark, texts, [0, 1, 2, 3, 4, 5, 5])
+    learned = docs(spark, ["the house is red", "a long road"]).unionByName(docs(spark, ["das Haus ist rot", "ein weiter Weg"]).withColumn("lang", F.lit("de")))
+    got = language_id.identify(d, learned).collect()
+    assert len(got) == 7 and {(r.doc_id, r.lang_pred) for r in got} >= {(0, "und"), (1, "und"), (2, "und"), (3, "en"), (4, "de")}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 5}) == 1
+    assert language_id.identify(docs(spark, []), learned).count() == 0
+
+
 # --- pipeline
 
 
