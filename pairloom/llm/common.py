@@ -194,14 +194,14 @@ BLOCK_BYTES = 8 << 20
 
 
 def blocks_of(docs: DataFrame) -> int:
-    """How many blocks the column text needs; two for each shuffle partition at least."""
+    """How many blocks the column text needs; one for each shuffle partition at least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(2 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
+    return max(partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
 
 
 def dealt(df: DataFrame, blocks: int, by: str = "block") -> DataFrame:
-    """Rows by block (or bucket), a task for every two of them."""
-    return df.repartition(-(-blocks // 2), by)
+    """Rows by block (or bucket), a task for every two of them, once all cores have one."""
+    return df.repartition(max(partitions(df.sparkSession), -(-blocks // 2)), by)
 
 
 def blocked(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:

@@ -31,6 +31,8 @@ document: neither is earlier than the other. Rows without doc_id are one documen
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +50,7 @@ _BLOCKS_PER_BUCKET, _STEP = 8, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NO_ID = -(2**63)
+_BEFORE = 1 << 20
 _SENT = "bucket int, block int, kind int, payload binary"
 
 
@@ -169,10 +172,18 @@ def _asked(block: int, parse: _Parse, buckets: int) -> list[tuple[int, int, byte
     return [(b, 0, C.pack_ascending(keys[p], np.packbits(many[p]))) for b, p in C.spread(keys, buckets)]
 
 
+def _opened(replies: pa.Table) -> list[tuple[int, bytes]]:
+    """(round, reply): those of the last round, and those of earlier ones, which travel on as one row."""
+    out = []
+    for kind, payload in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist(), strict=True):
+        out += pickle.loads(payload) if kind == _BEFORE else [(kind, payload)]
+    return out
+
+
 def _told(block: _Block, replies: pa.Table, buckets: int, rounds: int) -> _Parse:
     """The block's symbols after so many rounds; without a reply nothing of the block is shared."""
     parse, by = _Parse(block.w), {}
-    for kind, payload in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist(), strict=True):
+    for kind, payload in _opened(replies):
         by.setdefault(kind, []).append(payload)
     for k in range(1, rounds + 1):
         keys, _ = parse.asked()
@@ -198,8 +209,8 @@ def _next_round(buckets: int, done: int):
         if not rows.num_rows:
             return _sent(0, [])
         number = rows.column("block")[0].as_py()
-        before = [(number % buckets, k, x) for k, x in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist(), strict=True)]
-        return _sent(number, before + _asked(number, _told(_Block(rows), replies, buckets, done), buckets))
+        before = (number % buckets, _BEFORE, pickle.dumps(_opened(replies)))
+        return _sent(number, [before, *_asked(number, _told(_Block(rows), replies, buckets, done), buckets)])
 
     return run
 
@@ -312,7 +323,7 @@ def dedup_substrings(docs: DataFrame, spacing: bool = False, carry: bool = False
     ``carry`` adds the input row but for its text as the struct ``carried``.
     """
     blocks = C.blocks_of(docs)
-    buckets = max(2 * C.partitions(docs.sparkSession), blocks // _BLOCKS_PER_BUCKET)
+    buckets = max(C.partitions(docs.sparkSession), blocks // _BLOCKS_PER_BUCKET)
     rest = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("carried")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     block = C.blocked_tight(slim, slim.columns, blocks)
