@@ -36,9 +36,10 @@ class EditDistance:
         self.cost = self.table[-1][-1]
 
     def alignments(self) -> Iterator[list[tuple[str, int, int]]]:
+        """One after the other, depth first: only the ways still open from the present one are held."""
         todo = [(len(self.a), len(self.b), None)]
         while todo:
-            i, j, done = todo.pop(0)
+            i, j, done = todo.pop()
             if not i and not j:
                 out = []
                 while done:
@@ -46,7 +47,7 @@ class EditDistance:
                     out.append(step)
                 yield out
                 continue
-            for k in self.steps[i][j]:
+            for k in reversed(self.steps[i][j]):
                 x, y = i - (k != "I"), j - (k != "D")
                 todo.append((x, y, ((k, x, y), done)))
 

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .pairs import dice, permuted
 
+# Fixed values of the published similarity.
 ALPHA, BETA, ETA, PHI, DELTA = 0.2, 0.45, 0.4, 0.2, 0.85
+#: Entries that a lexicon may have to be sent to the workers.
+MOST_ENTRIES = 2_000_000
 
 
 def word_facts(synset: DataFrame, hypernym: DataFrame, lemma: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def with_facts(pairs: DataFrame, facts: DataFrame, fill: tuple[str, ...] = ("syn
 def features() -> dict[str, Column]:
     """The lexicon family over the columns of with_facts."""
     n1, n2 = F.size("t1"), F.size("t2")
-    a, b = F.col("n_synsets1") / (1.0 + n2), F.col("n_synsets2") / (1.0 + n1)
+    a, b = F.col("n_synsets1") / (1.0 + n1), F.col("n_synsets2") / (1.0 + n2)
     return {
         "hypernyms_share": dice(F.col("hypernyms1"), F.col("hypernyms2")),
         "lemmas_share": dice(F.col("lemmas1"), F.col("lemmas2")),
@@ -58,9 +61,10 @@ def cross_path_similarity(s1: Column, s2: Column, similarity: Column) -> Column:
 class Sentences:
     """Sentence similarity after Li and others: word similarities by path length and depth, semantic and order vectors."""
 
-    def __init__(self, synsets: dict[str, list[str]], parents: dict[str, list[str]], lemmas: dict[str, list[str]], counts: dict[str, int]):
-        self.synsets, self.parents, self.lemmas, self.counts = synsets, parents, lemmas, counts
-        self.n = sum(counts.values())
+    def __init__(self, synsets: dict[str, list[str]], parents: dict[str, list[str]], lemmas: dict[str, list[str]], counts: dict[str, int] | None = None, n: int | None = None, compat: bool = False):
+        """counts: of words in a corpus of n words. compat: hierarchy_dist takes steps up to a shared ancestor for its depth."""
+        self.synsets, self.parents, self.lemmas, self.counts, self.compat = synsets, parents, lemmas, counts or {}, compat
+        self.n = sum(self.counts.values()) if n is None else n
         self.up: dict[str, dict[str, int]] = {}
         self.known: dict[tuple[str, str], float] = {}
 
@@ -98,7 +102,11 @@ class Sentences:
         return max(self.ancestors(s).values())
 
     def hierarchy_dist(self, a: str, b: str) -> float:
-        shared = self.ancestors(a).keys() & self.ancestors(b).keys()
+        """The depth of the deepest shared ancestor, as published; with compat the most steps that lead from either to one."""
+        x, y = self.ancestors(a), self.ancestors(b)
+        shared = x.keys() & y.keys()
+        if self.compat:
+            return math.tanh(BETA * (self.depth(a) if a == b else max((max(x[s], y[s]) for s in shared), default=0)))
         return math.tanh(BETA * max((self.depth(s) for s in shared), default=0))
 
     def word_similarity(self, w1: str, w2: str) -> float:
@@ -151,13 +159,36 @@ class Sentences:
         return s, o, DELTA * s + (1 - DELTA) * o
 
 
-def sentence_similarity(pairs: DataFrame, sentences: Sentences) -> DataFrame:
-    """(id, semantic_similarity, word_order_similarity, similarity); each distinct pair of texts is computed once. Tables of the lexicon must fit a worker."""
-    said = pairs.sparkSession.sparkContext.broadcast(sentences)
+def sentences(synset: DataFrame, hypernym: DataFrame, lemma: DataFrame, n: int, compat: bool = False) -> Sentences:
+    """From tables of a lexicon of at most MOST_ENTRIES rows in all; larger ones are refused."""
+    size = sum(df.count() for df in (synset, hypernym, lemma))
+    if size > MOST_ENTRIES:
+        raise ValueError(f"a lexicon of {size} rows is too large to send to the workers")
+    many = lambda df: {k: sorted(v) for k, v in df.toDF("k", "v").groupBy("k").agg(F.collect_set("v")).collect()}  # noqa: E731  bounded above
+    return Sentences(many(synset.select("word", "synset")), many(hypernym.select("synset", "parent")), many(lemma.select("synset", "lemma")), n=n, compat=compat)
 
-    @F.pandas_udf("struct<semantic_similarity: double, word_order_similarity: double, similarity: double>")
-    def run(t1: pd.Series, t2: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([said.value.similarity(list(a), list(b)) for a, b in zip(t1, t2, strict=True)], columns=["semantic_similarity", "word_order_similarity", "similarity"])
 
-    once = pairs.select("t1", "t2").distinct().withColumn("s", run("t1", "t2"))
-    return pairs.join(once, ["t1", "t2"]).select("id", "s.*")
+def sentence_similarity(pairs: DataFrame, said: Sentences, counts: DataFrame) -> DataFrame:
+    """(id, semantic_similarity, word_order_similarity, similarity) of pairs (id, t1, t2), with word counts (word, n).
+
+    Each distinct pair of texts, in either order, is computed once. Counts travel with the texts that have the words.
+    """
+    key = lambda t: F.array_join(t, "\x1f")
+    ordered = key(F.col("t1")) <= key(F.col("t2"))
+    p = pairs.select("id", F.when(ordered, F.col("t1")).otherwise(F.col("t2")).alias("a"), F.when(ordered, F.col("t2")).otherwise(F.col("t1")).alias("b"))
+    p = p.withColumn("pair", F.md5(F.concat_ws("\x1e", key(F.col("a")), key(F.col("b"))).cast("binary")))
+    once = p.dropDuplicates(["pair"]).select("pair", "a", "b")
+    words = once.select("pair", F.explode(F.array_union("a", "b")).alias("word")).join(counts, "word")
+    own = words.groupBy("pair").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("ns"))
+    sent = pairs.sparkSession.sparkContext.broadcast(said)
+
+    @F.pandas_udf("struct<semantic_similarity: double, word_order_similarity: double, similarity: double>")
+    def run(a: pd.Series, b: pd.Series, known: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        rows, s = [], sent.value
+        for x, y, k, n in zip(a, b, known, ns, strict=True):
+            s.counts = {} if k is None else dict(zip(k, n, strict=True))
+            rows.append(s.similarity(list(x), list(y)))
+        return pd.DataFrame(rows, columns=["semantic_similarity", "word_order_similarity", "similarity"])
+
+    got = once.join(own, "pair", "left").select("pair", run("a", "b", "known", "ns").alias("s"))
+    return p.select("id", "pair").join(got, "pair").select("id", "s.*")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import math
+from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,18 +16,23 @@ from .text import strip_punctuation
 
 
 def kendall(x: list[int], y: list[int]) -> tuple[float, float]:
-    """Kendall's tau-b and its two-sided p-value by the normal approximation with ties; (nan, nan) if one side is constant."""
+    """Kendall's tau-b and its two-sided p-value by the normal approximation with ties; (nan, nan) if one side is constant.
+
+    In order of (x, y), a pair disagrees if its y falls: such pairs are counted in a sorted list of the y before.
+    """
     n = len(x)
-    s = xt = yt = 0
-    for i in range(n):
-        for j in range(i):
-            a, b = (x[i] > x[j]) - (x[i] < x[j]), (y[i] > y[j]) - (y[i] < y[j])
-            s, xt, yt = s + a * b, xt + (a == 0), yt + (b == 0)
     pairs = n * (n - 1) // 2
+    tx, ty, both = (list(Counter(v).values()) for v in (x, y, zip(x, y, strict=True)))
+    xt, yt, xy = (sum(t * (t - 1) // 2 for t in g) for g in (tx, ty, both))
     if xt == pairs or yt == pairs:
         return math.nan, math.nan
-    groups = lambda v: [v.count(k) for k in set(v)]
-    tx, ty = groups(x), groups(y)
+    seen: list[int] = []
+    falls = 0
+    for _, b in sorted(zip(x, y, strict=True)):
+        at = bisect_right(seen, b)
+        falls += len(seen) - at
+        seen.insert(at, b)
+    s = pairs - xt - yt + xy - 2 * falls
     v0 = n * (n - 1) * (2 * n + 5)
     f = lambda g, p: sum(p(t) for t in g)
     var = (v0 - f(tx, lambda t: t * (t - 1) * (2 * t + 5)) - f(ty, lambda t: t * (t - 1) * (2 * t + 5))) / 18

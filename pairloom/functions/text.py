@@ -56,7 +56,7 @@ def let(value: Column, f) -> Column:
 
 
 def count_map(array: Column) -> Column:
-    """How often each element occurs, as a map: the lengths of a sorted array's runs. For short arrays; see counted for long ones."""
+    """How often each element occurs, as a map: the lengths of a sorted array's runs. For short arrays."""
 
     def runs(u: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(0), F.size(u) - 1), lambda i: (i == 0) | (F.get(u, i) != F.get(u, F.greatest(i - 1, F.lit(0)))))

@@ -103,14 +103,17 @@ def _disparity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def procrustes(v1: Column, v2: Column, most: int) -> Column:
-    """Disparity of the first vectors of both sides, at most ``most`` and as many as both have; 0 if a side has none."""
+    """Disparity of the first vectors of both sides, at most ``most`` and as many as both have; 0 if a side has none or one, null if a side's are all alike.
+
+    The sides are meant to hold each distinct word that is no stopword once, in order of first appearance.
+    """
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
             n = min(len(x), len(y), most)
-            out.append(_disparity(np.stack(x[:n]), np.stack(y[:n])) if n else 0.0)
+            out.append(_disparity(np.stack(x[:n]), np.stack(y[:n])) if n > 1 else 0.0)
         return pd.Series(out)
 
     return run(v1, v2)

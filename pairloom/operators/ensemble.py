@@ -59,9 +59,11 @@ def expanding_correlation(predictions: DataFrame, first: str, second: str) -> Da
     Sums of ranges of ids come first, so the running frame of a row stays within its range.
     """
     a, b = (predictions.filter(F.col("model") == m).select("id", F.col("p").alias(c)) for m, c in ((first, "x"), (second, "y")))
-    rows = a.join(b, "id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    rows = materialize(a.join(b, "id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    mx, my = (m or 0.0 for m in rows.agg(F.avg("x"), F.avg("y")).first())  # sums of what lies around the means keep their digits
+    rows = rows.withColumns({"x": F.col("x") - mx, "y": F.col("y") - my})
     parts = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
-    rows = materialize(rows.select("id", "part", *(c.alias(f"v_{k}") for k, c in parts.items())))
+    rows = rows.select("id", "part", *(c.alias(f"v_{k}") for k, c in parts.items()))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("part").agg(*(F.sum(f"v_{k}").alias(f"s_{k}") for k in parts))
     base = sums.select("part", *(F.coalesce(F.sum(f"s_{k}").over(before), F.lit(0.0)).alias(f"b_{k}") for k in parts))

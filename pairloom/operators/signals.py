@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import counted
 from ..functions.text import pad_sequence
 from ..sources.store import materialize
 
@@ -25,18 +25,23 @@ def word_weight(n: Column, least: int = 2, eps: int = 10_000) -> Column:
 def weighted_match(pairs: DataFrame, counts: DataFrame, stops: list[str]) -> DataFrame:
     """(id, tfidf_wm, tfidf_wm_stops) of (id, t1, t2): twice the weights of shared distinct words over all weights, with and without stopwords.
 
-    0 if a side is empty, null if nothing weighs. Words meet their weights in one join; a word that
-    every text has is a skewed key that AQE splits.
+    0 if a side is empty, null if nothing weighs. Words of weight 0 do not travel. The weights are written,
+    so that Spark knows their size: a small table meets the words where they lie, by id as the sums need
+    them; a large one meets them by word, where AQE splits a word that every text has.
     """
-    sets = pairs.select("id", F.array_distinct("t1").alias("u1"), F.array_distinct("t2").alias("u2"))
-    word = counted(sets).withColumnRenamed("unit", "word").join(counts.select("word", word_weight(F.col("n")).alias("w")), "word")
-    both, sides, plain = (F.col("n1") > 0) & (F.col("n2") > 0), F.col("w") * (F.col("n1") + F.col("n2")), ~F.col("word").isin(stops) if stops else F.lit(True)
-    total = lambda on, c: F.sum(F.when(on, c).otherwise(0.0))
-    some = lambda on: (F.count_if(on & (F.col("n1") > 0)) > 0) & (F.count_if(on & (F.col("n2") > 0)) > 0)
-    match = lambda on: F.when(some(on), F.try_divide(total(on & both, sides), total(on, sides))).otherwise(0.0)
-    sums = word.groupBy("id").agg(match(F.lit(True)).alias("tfidf_wm"), match(plain).alias("tfidf_wm_stops"), F.lit(True).alias("there"))
-    missing = lambda c: F.when(F.col("there"), F.col(c)).otherwise(0.0).alias(c)
-    return pairs.select("id").join(sums, "id", "left").select("id", missing("tfidf_wm"), missing("tfidf_wm_stops"))
+    weights = materialize(counts.select("word", word_weight(F.col("n")).alias("w")).filter("w > 0"))
+    u1, u2 = F.array_distinct("t1"), F.array_distinct("t2")
+    plain = lambda t: F.exists(t, lambda x: ~x.isin(stops)) if stops else F.size(t) > 0
+    both = (F.size("t1") > 0) & (F.size("t2") > 0)
+    known = pairs.select("id", F.coalesce(both, F.lit(False)).alias("some"), F.coalesce(both & plain("t1") & plain("t2"), F.lit(False)).alias("some_plain"))
+    tagged = lambda words, k: F.transform(words, lambda x: F.struct(x.alias("word"), F.lit(k).alias("k")))
+    words = pairs.select("id", F.inline(F.concat(tagged(F.array_intersect(u1, u2), 2), tagged(F.array_except(u1, u2), 1), tagged(F.array_except(u2, u1), 1))))
+    rest = ~F.col("word").isin(stops) if stops else F.lit(True)
+    own, shared = F.col("w") * F.col("k"), F.when(F.col("k") == 2, F.col("w") * 2).otherwise(0.0)
+    match = lambda on: F.try_divide(F.sum(F.when(on, shared).otherwise(0.0)), F.sum(F.when(on, own).otherwise(0.0)))
+    sums = words.join(weights, "word").groupBy("id").agg(match(F.lit(True)).alias("m"), match(rest).alias("m_plain"))
+    said = lambda on, c, name: F.when(F.col(on), F.col(c)).otherwise(0.0).alias(name)
+    return known.join(sums, "id", "left").select("id", said("some", "m", "tfidf_wm"), said("some_plain", "m_plain", "tfidf_wm_stops"))
 
 
 def text_frequency(pairs: DataFrame) -> DataFrame:
@@ -96,6 +101,27 @@ def with_nodes(pairs: DataFrame, values: DataFrame, left: str, right: str, names
     return pairs
 
 
+def pair_graph(*tables: DataFrame) -> DataFrame:
+    """Links (src, dst) between the texts of pairs, train and test alike, by md5 of question1 and question2; repeats and loops stay. A null text counts as empty."""
+    node = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    return reduce(DataFrame.unionByName, (t.select(node("question1").alias("src"), node("question2").alias("dst")) for t in tables))
+
+
+def with_graph(pairs: DataFrame, ranks: DataFrame | None = None, core: DataFrame | None = None) -> DataFrame:
+    """pairs with q1_pr, q2_pr and q1_max_kcore, q2_max_kcore, looked up by the texts' nodes; 0 for a text that the graph lacks."""
+    node = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    out = pairs.withColumn("__n1", node("question1")).withColumn("__n2", node("question2"))
+    for values, value, names in ((ranks, "pr", ("q1_pr", "q2_pr")), (core, "core", ("q1_max_kcore", "q2_max_kcore"))):
+        if values is not None:
+            out = with_nodes(out, values, "__n1", "__n2", names, value, "left").fillna(0, list(names))
+    return out.drop("__n1", "__n2")
+
+
+def core_membership(core: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
+    """(node, kcore2, kcore3, ...): k where the node is in the k-core, else 0."""
+    return core.select("node", *(F.when(F.col("core") >= k, k).otherwise(0).alias(f"kcore{k}") for k in range(least, most + 1)))
+
+
 def _without_tails(both: DataFrame) -> DataFrame:
     """The links (src, dst, both directions) of the 2-core.
 
@@ -146,6 +172,18 @@ def cores(edges: DataFrame, most: int = 20, rounds: int | None = None) -> DataFr
     return nodes.join(bound, "node", "left").select("node", F.when(F.col("h") >= 2, F.col("h")).otherwise(0).alias("core"))
 
 
+def both_sequences(pairs: DataFrame, index: DataFrame, length: int = 30) -> DataFrame:
+    """(id, seq1, seq2) of (id, t1, t2)."""
+    side = lambda k: sequences(pairs.select("id", F.col(f"t{k}").alias("t")), index, length).withColumnRenamed("seq", f"seq{k}")
+    return side(1).join(side(2), "id")
+
+
+def null_embeddings(matrix: DataFrame) -> DataFrame:
+    """(n_words, n_null) of (idx, word, vec): how many words, and how many whose numbers add up to 0."""
+    total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return matrix.agg(F.count("*").alias("n_words"), F.count_if(total == 0).alias("n_null"))
+
+
 def word_index(counts: DataFrame, most: int = 200_000) -> DataFrame:
     """(word, idx): the most frequent words, numbered from 1, ties by word. The numbering window sees ``most`` rows at most."""
     top = counts.orderBy(F.desc("n"), "word").limit(most)

@@ -1,8 +1,9 @@
 """Registered queries by name, and the SQL that states each one.
 
 All take (spark, sf_dir), read whole tables and return keyed rows. Adjacent documents stand in for text
-pairs, ``part`` names and types for very short texts, ``lineitem`` for a graph, and hashes of ids for
-predictions. Queries without SQL are tested against brute force on small fixtures.
+pairs, ``part`` names and types for very short texts, ``lineitem`` for a graph, hashes of ids for
+predictions, and hashes of words for lexica. Queries without SQL are tested against brute force on small
+fixtures (models: for their sizes and their gain over a constant).
 """
 
 from __future__ import annotations
@@ -143,7 +144,22 @@ def bigram_profile(spark, sf_dir):
     return rounded(pairs.syllable_similarity(token_pairs(spark, sf_dir)))
 
 
-@query("frequent_distance")
+_PARTS = f"tok AS (SELECT p_partkey AS id, {_TOKENS('p_name')} AS t1, {_TOKENS('p_type')} AS t2 FROM part)"
+
+
+def _frequent_sql() -> str:
+    ends = lambda c, k, sign: f"list_transform(list_sort(list_transform(list_distinct({c}), lambda w: {{'n': {sign} * len(list_filter({c}, lambda y: y = w)), 'w': w}}))[1:{k}], lambda e: e.w)"
+    letters = "list_filter(string_split({0}, ''), lambda c: c <> '')"
+    top = lambda w: f"list_sort(list_transform(list_distinct({letters.format(w)}), lambda c: {{'n': -len(list_filter({letters.format(w)}, lambda y: y = c)), 'c': c}}))[1:2]"
+    shared = lambda x, y: f"100 + coalesce(list_sum(list_transform({top(x)}, lambda a: coalesce(list_sum(list_transform({top(y)}, lambda b: CASE WHEN a.c = b.c THEN a.n + b.n ELSE 0 END)), 0))), 0)"
+    whole = lambda a, b, cost: f"CASE WHEN least(len({a}), len({b})) = 0 THEN 0.0 ELSE round(list_sum(list_transform({a}, lambda x: list_sum(list_transform({b}, lambda y: {cost('x', 'y')}))))::DOUBLE * factorial(greatest(len({a}), len({b}))::INTEGER - 1) / factorial(abs(len({a}) - len({b}))::INTEGER) / (len({a}) + len({b})), 6) END"
+    distance = lambda x, y: f"levenshtein({x}, {y})"
+    return f"""WITH {_PARTS}, p AS (SELECT id, list_filter(t1, lambda x: NOT list_contains({_STOPS}, x)) AS a, list_filter(t2, lambda x: NOT list_contains({_STOPS}, x)) AS b FROM tok),
+e AS (SELECT id, {ends('a', 4, 1)} AS l1, {ends('b', 4, 1)} AS l2, {ends('a', 4, -1)} AS m1, {ends('b', 4, -1)} AS m2, {ends('a', 3, 1)} AS x1, {ends('b', 3, 1)} AS x2, {ends('a', 3, -1)} AS y1, {ends('b', 3, -1)} AS y2 FROM p)
+SELECT id, {whole('l1', 'l2', shared)} AS most_freq_2_sdf, {whole('m1', 'm2', shared)} AS most_freq_2_sdf_reverse, {whole('x1', 'x2', distance)} AS wagner_fischer, {whole('y1', 'y2', distance)} AS wagner_fischer_reverse FROM e"""
+
+
+@query("frequent_distance", _frequent_sql())
 def frequent_distance(spark, sf_dir):
     f = pairs.frequent(text.tokens(F.col("question1")), text.tokens(F.col("question2")))
     return rounded(part_pairs(spark, sf_dir).select("id", *(c.alias(n) for n, c in f.items())))
@@ -153,9 +169,20 @@ def part_pairs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question1"), F.col("p_type").alias("question2"))
 
 
-@query("subset_count")
+_PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
+_BARE = lambda c: f"list_transform({c}, lambda w: translate(w, {_PUNCT}, ''))"
+_PLACES = lambda t, s: f"coalesce(list_sum(list_transform({t}, lambda w: CASE WHEN length(w) > length({s}) THEN 0 ELSE len(list_filter(range(1, length({s}) - length(w) + 2), lambda i: substr({s}, i, length(w)) = w)) END)), 0)"
+
+
+def bare(words: Column) -> Column:
+    """Words without punctuation; one that is nothing else becomes empty."""
+    return F.transform(words, text.strip_punctuation)
+
+
+@query("subset_count", f"""WITH {_PARTS}, w AS (SELECT id, {_BARE('t1')} AS a, {_BARE('t2')} AS b FROM tok), s AS (SELECT id, a, b, array_to_string(a, '') AS s1, array_to_string(b, '') AS s2 FROM w)
+SELECT id, round(({_PLACES('a', 's2')} + {_PLACES('b', 's1')})::DOUBLE / nullif(len(a) + len(b), 0), 6) AS subset_count FROM s""")
 def subset_count(spark, sf_dir):
-    t = lambda c: text.tokens(text.strip_punctuation(F.col(c)))
+    t = lambda c: bare(text.tokens(F.col(c)))
     return rounded(part_pairs(spark, sf_dir).select("id", pairs.subset_count(t("question1"), t("question2")).alias("subset_count")))
 
 
@@ -198,7 +225,6 @@ def remove_stopwords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_stopwords(F.col("text")).alias("text"))
 
 
-_PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 _FOUND = lambda c: f"list_transform(regexp_extract_all(translate(coalesce({c}, ''), {_PUNCT}, ''), '(?i)(' || n.p || ')', 1), lambda x: lower(x))"
 
 
@@ -259,6 +285,29 @@ def rebalance(spark, sf_dir):
     return frames.rebalance(document_pairs(spark, sf_dir).select("id", "is_duplicate")).select("id", "is_duplicate", "copy")
 
 
+@query("rebalance_validation", f"""WITH {PAIRS}, h AS (SELECT id, is_duplicate, ('0x' || substr(md5('4242:' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 AS is_test FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_test, is_duplicate ORDER BY id) AS k, count(*) OVER (PARTITION BY is_test, is_duplicate) AS n FROM h)
+SELECT id, is_duplicate, is_test, c AS copy FROM r, (SELECT unnest([0, 1]) AS c) WHERE is_duplicate = 0 OR (is_duplicate = 1 AND c = 0 AND k <= floor(n * 0.8::DOUBLE))""")
+def rebalance_validation(spark, sf_dir):
+    return frames.rebalanced_validation(document_pairs(spark, sf_dir).select("id", "is_duplicate")).select("id", "is_duplicate", "is_test", "copy")
+
+
+@query("unify_apart", f"""WITH {PAIRS} SELECT 'train' AS part, count(*) AS n, sum(id)::BIGINT AS ids FROM pairs WHERE is_duplicate IS NOT NULL
+UNION ALL SELECT 'test', count(*), sum(id)::BIGINT FROM pairs WHERE is_duplicate IS NULL""")
+def unify_apart(spark, sf_dir):
+    p = document_pairs(spark, sf_dir).select("id", "is_duplicate")
+    both = frames.unify(p.filter("is_duplicate IS NOT NULL"), p.filter("is_duplicate IS NULL").select(F.col("id").alias("test_id")))
+    train, test = frames.apart(both)
+    count = lambda df, part, key: df.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.sum(key).alias("ids"))
+    return count(train, "train", "id").union(count(test, "test", "test_id"))
+
+
+@query("membership", "SELECT p_partkey AS id, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49) AS is_member FROM part")
+def membership(spark, sf_dir):
+    members = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_partkey")
+    return frames.membership(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), "id", members, "is_member")
+
+
 @query("symmetrized", f"WITH {PAIRS} SELECT id, qid1, qid2, 0 AS swapped FROM pairs UNION ALL SELECT id, qid2, qid1, 1 FROM pairs")
 def symmetrized(spark, sf_dir):
     return frames.symmetrized(document_pairs(spark, sf_dir)).select("id", "qid1", "qid2", "swapped")
@@ -271,6 +320,31 @@ def oversample(spark, sf_dir):
     return frames.oversample_positives(document_pairs(spark, sf_dir).select("id", "is_duplicate"), F.md5(F.col("id").cast("string").cast("binary"))).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(-1)))
 
 
+@query("oversample_synonyms", f"""WITH {PAIRS}, c AS (SELECT count(*) AS n, count(*) FILTER (is_duplicate = 1) AS d FROM pairs),
+k AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS r FROM pairs WHERE is_duplicate = 1),
+drawn AS (SELECT id, is_duplicate, question1, question2 FROM k, c WHERE r <= greatest(0, least(d, floor(0.5::DOUBLE * n - d + 0.5)))),
+v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents),
+lex AS (SELECT word, l AS lemma FROM (SELECT word, ('0x' || substr(md5(word), 1, 6))::BIGINT % 3 AS h, unnest([word || '_a', word || '_b']) AS l FROM v) WHERE h <> 2),
+syn AS (SELECT word, replace(arg_min(lemma, md5('4242:' || word || ':' || lemma)), '_', ' ') AS synonym FROM lex WHERE NOT list_contains({sorted(set(frames.ENTITY_WORDS.values()))}, word) GROUP BY word),
+w AS (SELECT id, side, unnest(string_split(q, ' ')) AS word, unnest(range(0, len(string_split(q, ' ')))) AS pos, len(string_split(q, ' ')) - 1 AS last FROM (SELECT id, 1 AS side, question1 AS q FROM drawn UNION ALL SELECT id, 2, question2 FROM drawn)),
+t AS (SELECT id, side, string_agg(CASE WHEN pos > 0 AND pos < last THEN coalesce(synonym, word) ELSE word END, ' ' ORDER BY pos) AS q FROM w LEFT JOIN syn USING (word) GROUP BY id, side)
+SELECT id, coalesce(is_duplicate, -1) AS is_duplicate, 0 AS copy, md5(coalesce(question1, '')) AS h1, md5(coalesce(question2, '')) AS h2 FROM pairs
+UNION ALL SELECT drawn.id, is_duplicate, 1, md5(coalesce(a.q, '')), md5(coalesce(b.q, '')) FROM drawn LEFT JOIN t a ON a.id = drawn.id AND a.side = 1 LEFT JOIN t b ON b.id = drawn.id AND b.side = 2""")
+def oversample_synonyms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, ("NOUN", "ADJ", "VERB"))), (hashed("word") % 3 + 1).cast("int"))
+    lexicon_ = words.select("word", kind.alias("pos"), F.explode(F.array(F.concat("word", F.lit("_a")), F.concat("word", F.lit("_b")))).alias("lemma"))
+    p = document_pairs(spark, sf_dir).select("id", "is_duplicate", "question1", "question2")
+    out = frames.oversample_synonymised(p, F.md5(F.col("id").cast("string").cast("binary")), lexicon_)
+    h = lambda c: F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+    return out.select("id", F.coalesce("is_duplicate", F.lit(-1)).alias("is_duplicate"), "copy", h("question1").alias("h1"), h("question2").alias("h2"))
+
+
+def hashed(column: str) -> Column:
+    """The first 24 bits of a string's md5."""
+    return F.conv(F.substring(F.md5(F.col(column).cast("binary")), 1, 6), 16, 10).cast("long")
+
+
 @query("folds", f"WITH {PAIRS} SELECT id, coalesce(is_duplicate, -1) AS is_duplicate, ((row_number() OVER (PARTITION BY is_duplicate ORDER BY id) - 1) % 10)::INTEGER AS fold FROM pairs")
 def folds(spark, sf_dir):
     return frames.folds(document_pairs(spark, sf_dir).select("id", "is_duplicate"), 10).withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(-1)))
@@ -354,14 +428,17 @@ def word_index(spark, sf_dir):
     return signals.word_index(signals.word_counts(p, F.col("t1"), F.col("t2")))
 
 
-@query("sequences", f"""WITH {TOKENS}, {_INDEX}, e AS (SELECT id, unnest(t1) AS word, unnest(range(1, len(t1) + 1)) AS k FROM tok),
-l AS (SELECT id, list(idx ORDER BY k) AS ids FROM e JOIN ix USING (word) GROUP BY id)
-SELECT tok.id, array_to_string(list_concat(list_transform(range(0, greatest(0, 30 - len(coalesce(ids, [])))), lambda x: 0), list_slice(coalesce(ids, []), greatest(1, len(coalesce(ids, [])) - 29), len(coalesce(ids, [])))), ',') AS seq FROM tok LEFT JOIN l ON l.id = tok.id""")
+_SEQUENCE = lambda k: f"""e{k} AS (SELECT id, unnest(t{k}) AS word, unnest(range(1, len(t{k}) + 1)) AS k FROM tok),
+l{k} AS (SELECT id, list(idx ORDER BY k) AS ids FROM e{k} JOIN ix USING (word) GROUP BY id),
+s{k} AS (SELECT tok.id, array_to_string(list_concat(list_transform(range(0, greatest(0, 30 - len(coalesce(ids, [])))), lambda x: 0), list_slice(coalesce(ids, []), greatest(1, len(coalesce(ids, [])) - 29), len(coalesce(ids, [])))), ',') AS seq FROM tok LEFT JOIN l{k} ON l{k}.id = tok.id)"""
+
+
+@query("sequences", f"WITH {TOKENS}, {_INDEX}, {_SEQUENCE(1)}, {_SEQUENCE(2)} SELECT s1.id, s1.seq AS seq1, s2.seq AS seq2 FROM s1 JOIN s2 USING (id)")
 def sequences(spark, sf_dir):
     p = token_pairs(spark, sf_dir)
     index = signals.word_index(signals.word_counts(p, F.col("t1"), F.col("t2")))
-    out = signals.sequences(p.select("id", F.col("t1").alias("t")), index)
-    return out.select("id", F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"))
+    out = signals.both_sequences(p, store.materialize(index))
+    return out.select("id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("seq1", "seq2")))
 
 
 @query("expanding_correlation", f"WITH {_PRED} SELECT a.id, CASE WHEN row_number() OVER w > 1 THEN round(corr(a.p, b.p) OVER w, 6) END AS corr FROM pred a JOIN pred b ON a.id = b.id AND a.model = 'a' AND b.model = 'b' WINDOW w AS (ORDER BY a.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
@@ -373,48 +450,118 @@ def _edges(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 
 
-def _pagerank_sql() -> str:
+_LINEITEM = "SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem"
+_TEXT_PAIRS = f"WITH {PAIRS} SELECT md5(coalesce(question1, '')) AS src, md5(coalesce(question2, '')) AS dst FROM pairs"
+
+
+def _pagerank_sql(edges: str) -> str:
     steps = ["p0 AS MATERIALIZED (SELECT src AS node, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS pr FROM deg)"]
     for k in range(1, 21):
         steps.append(f"p{k} AS MATERIALIZED (SELECT dst AS node, 0.15::DOUBLE / (SELECT count(*) FROM deg) + 0.85::DOUBLE * sum(pr * n / d) AS pr FROM links JOIN deg USING (src) JOIN p{k - 1} ON node = src GROUP BY dst)")
-    return f"""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL),
+    return f"""WITH e AS ({edges}), links AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL),
 deg AS MATERIALIZED (SELECT src, sum(n) AS d FROM links GROUP BY src), {', '.join(steps)} SELECT node, round(pr, 9) AS pr FROM p20"""
 
 
-@query("pagerank", _pagerank_sql())
+def _kcore_sql(edges: str) -> str:
+    """Bounds fall to the h-index of the neighbours' bounds until none does."""
+    return f"""WITH RECURSIVE e AS ({edges}), b AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst),
+r(node, h) USING KEY (node) AS (
+  SELECT src, least(count(*), 20) FROM b GROUP BY src
+  UNION
+  SELECT x.node, x.h FROM (SELECT src AS node, max(k) AS h FROM (SELECT b.src, k, count(*) AS c FROM b JOIN recurring.r o ON o.node = b.dst, (SELECT unnest(range(1, 21)) AS k) WHERE o.h >= k GROUP BY ALL) WHERE c >= k GROUP BY src) x
+  JOIN recurring.r y ON y.node = x.node WHERE x.h < y.h)
+SELECT node, CASE WHEN h >= 2 THEN h ELSE 0 END::INTEGER AS core FROM r"""
+
+
+@query("pagerank", _pagerank_sql(_LINEITEM))
 def pagerank(spark, sf_dir):
     return rounded(signals.pagerank(_edges(spark, sf_dir)), 9)
 
 
-@query("kcore")
+@query("kcore", _kcore_sql(_LINEITEM))
 def kcore(spark, sf_dir):
     return signals.cores(_edges(spark, sf_dir))
 
 
+@query("kcore_membership", f"SELECT node, {', '.join(f'CASE WHEN core >= {k} THEN {k} ELSE 0 END::INTEGER AS kcore{k}' for k in range(2, 21))} FROM ({_kcore_sql(_LINEITEM)})")
+def kcore_membership(spark, sf_dir):
+    return signals.core_membership(signals.cores(_edges(spark, sf_dir)))
+
+
+@query("pair_graph", f"""WITH {PAIRS}, pr AS ({_pagerank_sql(_TEXT_PAIRS)}), kc AS ({_kcore_sql(_TEXT_PAIRS)})
+SELECT pairs.id, a.pr AS q1_pr, b.pr AS q2_pr, coalesce(c.core, 0) AS q1_max_kcore, coalesce(d.core, 0) AS q2_max_kcore FROM pairs JOIN pr a ON a.node = md5(coalesce(question1, '')) JOIN pr b ON b.node = md5(coalesce(question2, ''))
+LEFT JOIN kc c ON c.node = md5(coalesce(question1, '')) LEFT JOIN kc d ON d.node = md5(coalesce(question2, ''))""")
+def pair_graph(spark, sf_dir):
+    p = document_pairs(spark, sf_dir)
+    graph = store.materialize(signals.pair_graph(p))
+    out = signals.with_graph(p.select("id", "question1", "question2"), signals.pagerank(graph), signals.cores(graph))
+    return rounded(out.select("id", "q1_pr", "q2_pr", "q1_max_kcore", "q2_max_kcore"), 9)
+
+
 def word_vectors(spark, sf_dir) -> DataFrame:
-    """A vector for every word of part names and types: that of the embedding its hash names."""
+    """A vector for the words of part names and types, without punctuation: that of the embedding their hash names; none for every seventh."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     n = e.count()
     p = part_pairs(spark, sf_dir)
-    words = p.select(F.explode(F.array_union(text.tokens(F.col("question1")), text.tokens(F.col("question2")))).alias("word")).distinct()
-    return words.withColumn("vec_id", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(n))).join(e, "vec_id").select("word", "vec")
+    words = p.select(F.explode(F.array_union(bare(text.tokens(F.col("question1"))), bare(text.tokens(F.col("question2"))))).alias("word")).distinct()
+    return words.filter((hashed("word") % 7 != 0) & (F.col("word") != "")).withColumn("vec_id", F.pmod(hashed("word"), F.lit(n))).join(e, "vec_id").select("word", "vec")
 
 
 def _vector_pairs(spark, sf_dir) -> DataFrame:
-    p = part_pairs(spark, sf_dir).select("id", text.tokens(F.col("question1")).alias("t1"), text.tokens(F.col("question2")).alias("t2"))
-    vecs = word_vectors(spark, sf_dir)
-    out = p
-    for name, words in (("v1", F.col("t1")), ("v2", F.col("t2")), ("u1", F.filter("t1", lambda w: ~F.array_contains("t2", w))), ("u2", F.filter("t2", lambda w: ~F.array_contains("t1", w)))):
-        at = p.select("id", F.posexplode(words).alias("k", "word")).join(vecs, "word", "left")
-        vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), 64))
-        own = at.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", vec.alias("v")))), lambda x: x["v"]).alias(name))
-        out = out.join(own, "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<array<double>>")))
-    return out
-
-
-@query("vector_features")
+    """(id, v1, v2, u1, u2, p1, p2, q1, q2): vectors of all words; of those the other side lacks; and of distinct words that are no stopwords, all and again those."""
+    p = part_pairs(spark, sf_dir).select("id", bare(text.tokens(F.col("question1"))).alias("t1"), bare(text.tokens(F.col("question2"))).alias("t2"))
+    told = lambda own, other, side: F.transform(own, lambda w, k: F.struct(F.lit(side).alias("side"), k.alias("k"), w.alias("word"), (~F.array_contains(other, w)).alias("lone"), (~w.isin(text.STOPWORDS) & (F.array_position(own, w) == k + 1)).alias("plain")))
+    words = p.select("id", F.inline(F.concat(told(F.col("t1"), F.col("t2"), 1), told(F.col("t2"), F.col("t1"), 2))))
+    vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), 64))
+    own = words.join(word_vectors(spark, sf_dir), "word", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "k", "lone", "plain", vec.alias("v")))).alias("all"))
+    some = lambda keep, side: F.transform(F.filter("all", lambda x: (x["side"] == side) & keep(x)), lambda x: x["v"])
+    kinds = {"v": lambda x: F.lit(True), "u": lambda x: x["lone"], "p": lambda x: x["plain"], "q": lambda x: x["plain"] & x["lone"]}
+    out = p.select("id").join(own, "id", "left").withColumn("all", F.coalesce("all", F.array().cast(own.schema["all"].dataType)))
+    return out.select("id", *(some(keep, k).alias(f"{n}{k}") for n, keep in kinds.items() for k in (1, 2)))
+
+
+def _vector_sql() -> str:
+    n = "(SELECT count(*) FROM embeddings)"
+    total = lambda c: f"CASE WHEN len({c}) = 0 THEN list_transform(range(0, 64), lambda i: 0.0::DOUBLE) ELSE list_transform(range(1, 65), lambda i: list_sum(list_transform({c}, lambda v: v[i]))) END"
+    over = lambda s, c: f"list_transform({s}, lambda x: CASE WHEN len({c}) = 0 THEN 0.0 ELSE x / len({c}) END)"
+    spread = lambda m: f"[list_avg({m}), list_var_pop({m}), list_median({m})]"
+    cross = lambda p, q: f"[{p}[2] * {q}[3] - {p}[3] * {q}[2], {p}[3] * {q}[1] - {p}[1] * {q}[3], {p}[1] * {q}[2] - {p}[2] * {q}[1]]"
+    size = lambda x: f"sqrt(list_sum(list_transform({x}, lambda y: y * y)))"
+    far = lambda a, b: f"list_max(list_transform({a}, lambda x: list_min(list_transform({b}, lambda y: list_distance(x, y)))))"
+    centred = lambda m: f"list_transform({m}, lambda x: x - list_avg({m}))"
+    apart = lambda a, b: f"1 - list_inner_product({centred(a)}, {centred(b)}) / nullif({size(centred(a))} * {size(centred(b))}, 0)"
+    own = lambda e, name, on="len(v1) > 0 AND len(v2) > 0": f"CASE WHEN {on} THEN round(coalesce({e}, 0.0), 6) + 0.0 ELSE 0.0 END AS {name}"
+    lone = "len(u1) > 0 AND len(u2) > 0"
+    return f"""WITH {_PARTS}, b AS (SELECT id, {_BARE('t1')} AS t1, {_BARE('t2')} AS t2 FROM tok),
+w AS (SELECT id, 1 AS side, unnest(t1) AS word, unnest(range(0, len(t1))) AS k, t2 AS other FROM b UNION ALL SELECT id, 2, unnest(t2), unnest(range(0, len(t2))), t1 FROM b),
+h AS (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 6))::BIGINT AS h FROM w),
+e AS (SELECT word, embedding::DOUBLE[] AS vec FROM h JOIN embeddings ON vec_id = h % {n} WHERE h % 7 <> 0 AND word <> ''),
+x AS (SELECT id, side, k, NOT list_contains(other, word) AS lone, coalesce(vec, list_transform(range(0, 64), lambda i: 0.0::DOUBLE)) AS v FROM w LEFT JOIN e USING (word)),
+g AS (SELECT id, {', '.join(f"coalesce(list(v ORDER BY k) FILTER (side = {k} {c}), []) AS {n_}{k}" for n_, c in (('v', ''), ('u', 'AND lone')) for k in (1, 2))} FROM x GROUP BY id),
+s AS (SELECT *, {', '.join(f'{total(f"{c}{k}")} AS s_{c}{k}' for c in 'vu' for k in '12')} FROM g),
+m AS (SELECT *, {', '.join(f'{over(f"s_{c}{k}", f"v{k}")} AS m_{c}{k}' for c in 'vu' for k in '12')} FROM s),
+q AS (SELECT *, {', '.join(f'{spread(f"m_{c}{k}")} AS p_{c}{k}' for c in 'vu' for k in '12')} FROM m)
+SELECT b.id, {own('list_inner_product(m_v1, m_v2)', 'dot_mean_word2vec')}, {own(size(cross('p_v1', 'p_v2')), 'euch_cross_mean_word2vec')},
+  {own(f"list_sum(list_transform({cross('p_v1', 'p_v2')}, lambda y: abs(y)))", 'one_cross_mean_word2vec')}, {own('list_inner_product(m_u1, m_u2)', 'unique_dot_mean_word2vec')},
+  {own(size(cross('p_u1', 'p_u2')), 'unique_euch_cross_mean_word2vec')}, {own(f"list_sum(list_transform({cross('p_u1', 'p_u2')}, lambda y: abs(y)))", 'unique_one_cross_mean_word2vec')},
+  {own('ln(1 + list_distance(s_v2, s_v1) / (len(v1) + len(v2)))', 'log_diff_word2vec')},
+  {own(f"abs({size('list_transform(s_v2, lambda x: x + 1.0)')} / len(v2) - {size('list_transform(s_v1, lambda x: x + 1.0)')} / len(v1))", 'naive_diff_word2vec')},
+  {own(far('v1', 'v2'), 'directed_hausdorff_word2vec')}, {own(far('u1', 'u2'), 'directed_hausdorff_unique_word2vec', lone)},
+  {own(apart('m_v1', 'm_v2'), 'correlation_am_word2vec')}, {own(apart('m_u1', 'm_u2'), 'correlation_unique_am_word2vec')}
+FROM b LEFT JOIN q ON q.id = b.id"""
+
+
+@query("vector_features", _vector_sql())
 def vector_features(spark, sf_dir):
-    return rounded(vectors.features(_vector_pairs(spark, sf_dir), 64))
+    return rounded(vectors.features(_vector_pairs(spark, sf_dir).select("id", "v1", "v2", "u1", "u2"), 64))
+
+
+@query("null_embeddings", f"""WITH {_PARTS}, w AS (SELECT DISTINCT word FROM (SELECT unnest(list_concat({_BARE('t1')}, {_BARE('t2')})) AS word FROM tok) WHERE word <> '')
+SELECT count(*) AS n_words, count(*) FILTER (('0x' || substr(md5(word), 1, 6))::BIGINT % 7 = 0) AS n_null FROM w""")
+def null_embeddings(spark, sf_dir):
+    p = part_pairs(spark, sf_dir).select("id", bare(text.tokens(F.col("question1"))).alias("t1"), bare(text.tokens(F.col("question2"))).alias("t2"))
+    index = signals.word_index(signals.word_counts(p, F.col("t1"), F.col("t2")).filter("word <> ''"))
+    return signals.null_embeddings(store.embedding_matrix(index, word_vectors(spark, sf_dir), 64))
 
 
 @query("vec_dot", """WITH p AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
@@ -428,39 +575,58 @@ def vec_dot(spark, sf_dir):
 @query("procrustes")
 def procrustes(spark, sf_dir):
     p = _vector_pairs(spark, sf_dir)
-    return rounded(p.select("id", vectors.procrustes(F.col("v1"), F.col("v2"), 4).alias("procrustes_word2vec"), vectors.procrustes(F.col("u1"), F.col("u2"), 3).alias("procrustes_unique_word2vec")))
-
-
-def nation_lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A small lexicon: nations are words and synsets, their regions hypernyms."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    synset = n.select(F.lower("n_name").alias("word"), F.concat(F.lit("n."), "n_nationkey").alias("synset")).union(r.select(F.lower("r_name"), F.concat(F.lit("r."), "r_regionkey")))
-    hypernym = n.select(F.concat(F.lit("n."), "n_nationkey").alias("synset"), F.concat(F.lit("r."), "n_regionkey").alias("parent")).union(r.select(F.concat(F.lit("r."), "r_regionkey"), F.lit("world")))
-    lemma = n.select(F.concat(F.lit("n."), "n_nationkey").alias("synset"), F.lower("n_name").alias("lemma"))
-    return synset, hypernym, lemma
-
-
-def nation_pairs(spark, sf_dir) -> DataFrame:
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    a = n.select("n_nationkey", F.array(F.lower("n_name"), F.lower("r_name")).alias("t1"))
-    b = n.select(F.col("n_nationkey").alias("k2"), F.array(F.lower("n_name"), F.lit("and"), F.lower("r_name")).alias("t2"))
-    return a.join(b, F.col("k2") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("id"), "t1", "t2")
-
-
-@query("lexicon_features")
+    return rounded(p.select("id", vectors.procrustes(F.col("p1"), F.col("p2"), 4).alias("procrustes_word2vec"), vectors.procrustes(F.col("q1"), F.col("q2"), 3).alias("procrustes_unique_word2vec")))
+
+
+def part_tokens(spark, sf_dir) -> DataFrame:
+    return part_pairs(spark, sf_dir).select("id", text.tokens(F.col("question1")).alias("t1"), text.tokens(F.col("question2")).alias("t2"))
+
+
+def part_lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A lexicon made of hashes of the parts' words: one or two synsets for four words in five, two levels of hypernyms, and the words as lemmas."""
+    words = store.materialize(part_tokens(spark, sf_dir).select(F.explode(F.array_union("t1", "t2")).alias("word")).distinct().withColumn("h", hashed("word")))
+    name = lambda c, n: F.concat(F.lit(c), (F.col("h") % n).cast("string"))
+    known = words.filter("h % 5 <> 0")
+    synset = known.select("word", name("a", 40).alias("synset")).union(known.filter("h % 3 = 0").select("word", name("b", 7)))
+    low, mid = known.select(name("a", 40).alias("synset"), (F.col("h") % 40).alias("k")).distinct(), F.explode(F.sequence(F.lit(0), F.lit(6)))
+    hypernym = low.select("synset", F.concat(F.lit("b"), (F.col("k") % 7).cast("string")).alias("parent")).union(spark.range(1).select(mid.alias("k")).select(F.concat(F.lit("b"), F.col("k").cast("string")), F.lit("root")))
+    return synset, hypernym, synset.select("synset", F.col("word").alias("lemma"))
+
+
+@query("lexicon_features", f"""WITH {_PARTS}, v AS (SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 6))::BIGINT AS h FROM (SELECT unnest(list_concat(t1, t2)) AS word FROM tok)),
+syn AS (SELECT word, 'a' || (h % 40) AS synset FROM v WHERE h % 5 <> 0 UNION ALL SELECT word, 'b' || (h % 7) FROM v WHERE h % 5 <> 0 AND h % 3 = 0),
+hyp AS (SELECT DISTINCT 'a' || (h % 40) AS synset, 'b' || (h % 40 % 7) AS parent FROM v WHERE h % 5 <> 0 UNION ALL SELECT 'b' || k, 'root' FROM (SELECT unnest(range(0, 7)) AS k)),
+w AS (SELECT id, 1 AS side, unnest(t1) AS word FROM tok UNION ALL SELECT id, 2, unnest(t2) FROM tok),
+n AS (SELECT id, side, count(synset) AS n FROM w LEFT JOIN syn USING (word) GROUP BY ALL),
+u AS (SELECT id, side, list(DISTINCT parent) AS x FROM w JOIN syn USING (word) JOIN hyp USING (synset) GROUP BY ALL),
+l AS (SELECT id, side, list(DISTINCT s2.word) AS x FROM w JOIN syn USING (word) JOIN syn s2 ON s2.synset = syn.synset GROUP BY ALL),
+j AS (SELECT tok.id, coalesce(n1.n, 0) / (1.0::DOUBLE + len(t1)) AS a, coalesce(n2.n, 0) / (1.0::DOUBLE + len(t2)) AS b, coalesce(u1.x, []) AS h1, coalesce(u2.x, []) AS h2, coalesce(l1.x, []) AS l1, coalesce(l2.x, []) AS l2 FROM tok
+  {' '.join(f'LEFT JOIN {t} {t}{k} ON {t}{k}.id = tok.id AND {t}{k}.side = {k}' for t in 'nul' for k in (1, 2))})
+SELECT id, CASE WHEN len(h1) = 0 OR len(h2) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(h1, h2)) / (len(h1) + len(h2)), 6) END AS hypernyms_share,
+  CASE WHEN len(l1) = 0 OR len(l2) = 0 THEN 0.0 ELSE round(2.0 * len(list_intersect(l1, l2)) / (len(l1) + len(l2)), 6) END AS lemmas_share,
+  round(abs(a - b), 6) AS linear_synonyms_count, round(ln(1 + abs((a + b) / (1 + a * b))), 6) AS smooth_synonyms_count FROM j""")
 def lexicon_features(spark, sf_dir):
-    facts = lexicon.word_facts(*nation_lexicon(spark, sf_dir))
-    return rounded(lexicon.with_facts(nation_pairs(spark, sf_dir), facts).select("id", *(c.alias(n) for n, c in lexicon.features().items())))
+    facts = lexicon.word_facts(*part_lexicon(spark, sf_dir))
+    return rounded(lexicon.with_facts(part_tokens(spark, sf_dir), facts).select("id", *(c.alias(n) for n, c in lexicon.features().items())))
 
 
 @query("sentence_similarity")
 def sentence_similarity(spark, sf_dir):
-    synset, hypernym, lemma = nation_lexicon(spark, sf_dir)
-    many = lambda df, k, v: {r[0]: sorted(r[1]) for r in df.groupBy(k).agg(F.collect_set(v)).collect()}
-    p = nation_pairs(spark, sf_dir)
-    counts = {r.word: r.n for r in signals.word_counts(p, F.col("t1"), F.col("t2")).collect()}
-    s = lexicon.Sentences(many(synset, "word", "synset"), many(hypernym, "synset", "parent"), many(lemma, "synset", "lemma"), counts)
-    return rounded(lexicon.sentence_similarity(p, s))
+    p = part_tokens(spark, sf_dir)
+    counts = store.materialize(signals.word_counts(p, F.col("t1"), F.col("t2")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    return rounded(lexicon.sentence_similarity(p, lexicon.sentences(*part_lexicon(spark, sf_dir), n), counts))
+
+
+@query("entity_text")
+def entity_text(spark, sf_dir):
+    """Part names and types as tokens, with entity types by hash, rewritten."""
+    kinds = F.array(*map(F.lit, ("", "", "", "GPE", "PERSON", "CARDINAL", "DATE", "")))
+    type_of = lambda w, salt: F.element_at(kinds, (F.pmod(F.crc32(F.concat(F.lit(salt), w).cast("binary")), F.lit(8)) + 1).cast("int"))
+    known = lambda w, salt: F.pmod(F.crc32(F.concat(F.lit(salt), w).cast("binary")), F.lit(3)) > 0
+    words = F.concat(text.tokens(F.col("question1"), False), text.tokens(F.col("question2"), False))
+    token = lambda w: F.struct(w.alias("text"), type_of(w, "e").alias("ent"), type_of(w, "t").alias("type"), type_of(w, "s").alias("second"), F.lower(w).alias("lemma"), known(w, "k").alias("known"), known(w, "l").alias("lemma_known"))
+    return part_pairs(spark, sf_dir).select("id", frames.entity_text(F.transform(words, token)).alias("text"))
 
 
 @query("entity_choice", """WITH t AS (SELECT word AS token, lang AS ent_type FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)), c AS (SELECT token, ent_type, count(*) AS n FROM t GROUP BY ALL),
@@ -478,11 +644,63 @@ def labelled_features(spark, sf_dir) -> DataFrame:
     return said.select("id", "label", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in f.items()))
 
 
+#: Sizes of the registered models; the functions' defaults are the original ones. README has the losses of both.
+GBT = {"rounds": 60, "step": 0.1, "depth": 5}
+STACK = {"k": 3, "trees": 20, "rounds": 10, "deepest": 10}
+
+
 @query("model_gbt")
 def model_gbt(spark, sf_dir):
-    return models.boosted(labelled_features(spark, sf_dir))
+    return models.boosted(labelled_features(spark, sf_dir), **GBT)
 
 
 @query("model_stack")
 def model_stack(spark, sf_dir):
-    return models.stacked(labelled_features(spark, sf_dir))
+    return models.stacked(labelled_features(spark, sf_dir), **STACK)
+
+
+@query("model_stack_perceptron")
+def model_stack_perceptron(spark, sf_dir):
+    return models.stacked(labelled_features(spark, sf_dir), blend="perceptron", layers=(10, 5), **STACK)
+
+
+#: The feature families that are assembled: queries that are keyed by id.
+FAMILIES = ("overlap_jaccard", "overlap_ratios", "overlap_stops", "overlap_weighted", "token_freq_profile", "char_profile", "bigram_profile", "subset_count", "places", "frequent_distance", "vector_features", "lexicon_features", "text_frequency", "pair_graph", "third_party")
+
+
+@query("third_party", "SELECT doc_id AS id, quality::DOUBLE AS outside_quality, toxic::DOUBLE AS outside_toxic FROM labels")
+def third_party(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("outside_quality"), F.col("toxic").cast("double").alias("outside_toxic"))
+
+
+#: What the families above give, in order: fixed by their queries.
+_FAMILY_COLUMNS = {
+    "overlap_jaccard": "jaccard wc_diff total_unique_words common_words",
+    "overlap_ratios": "wc_ratio wc_diff_unique wc_ratio_unique same_start char_diff char_ratio",
+    "overlap_stops": "word_match wc_diff_unq_stop wc_ratio_unique_stop char_diff_unq_stop total_unq_words_stop",
+    "overlap_weighted": "tfidf_wm tfidf_wm_stops",
+    "token_freq_profile": "stems_freq stems_share stems_weighted_difference stems_tversky_index",
+    "char_profile": "character_freq",
+    "bigram_profile": "syllable_similarity",
+    "subset_count": "subset_count",
+    "places": "places_share places_difference places_prevalence",
+    "frequent_distance": "most_freq_2_sdf most_freq_2_sdf_reverse wagner_fischer wagner_fischer_reverse",
+    "vector_features": "dot_mean_word2vec euch_cross_mean_word2vec one_cross_mean_word2vec unique_dot_mean_word2vec unique_euch_cross_mean_word2vec unique_one_cross_mean_word2vec log_diff_word2vec naive_diff_word2vec directed_hausdorff_word2vec directed_hausdorff_unique_word2vec correlation_am_word2vec correlation_unique_am_word2vec",
+    "lexicon_features": "hypernyms_share lemmas_share linear_synonyms_count smooth_synonyms_count",
+    "text_frequency": "q1_freq q2_freq",
+    "pair_graph": "q1_pr q2_pr q1_max_kcore q2_max_kcore",
+    "third_party": "outside_quality outside_toxic",
+}
+
+
+def _table_sql() -> str:
+    columns = ", ".join(f"coalesce({f}.{c}, 0) AS {c}" for f in FAMILIES for c in _FAMILY_COLUMNS[f].split())
+    joins = " ".join(f"LEFT JOIN ({SQL[f]}) {f} ON {f}.id = pairs.id" for f in FAMILIES)
+    return f"WITH {PAIRS} SELECT pairs.id, {columns} FROM pairs {joins}"
+
+
+@query("feature_table", _table_sql())
+def feature_table(spark, sf_dir):
+    """All families as one wide table, by id; what a family lacks is 0."""
+    families = [store.materialize(QUERIES[f](spark, sf_dir)) for f in FAMILIES]
+    return frames.assemble(document_pairs(spark, sf_dir).select("id"), families)
