@@ -11,9 +11,9 @@ def test_stopping_waits():
 
 
 def test_sizes_of_the_reference(spark):
-    size = {k: p.default for k, p in inspect.signature(models.boosted).parameters.items()}
+    size = {k: p.default for k, p in inspect.signature(models.fit_boosted).parameters.items()}
     assert (size["depth"], size["rounds"], size["step"], size["patience"]) == (7, 2500, 0.02, 25)
     assert inspect.signature(models.stacked).parameters["k"].default == 10
     b = models.bases()
-    assert [b[x].getNumTrees() for x in ("gini", "entropy")] == [100, 100]
+    assert [b[x].getNumTrees() for x in ("gini", "entropy", "extra_gini", "extra_entropy")] == [100] * 4
     assert (b["boosted"].getMaxIter(), b["boosted"].getMaxDepth(), b["boosted"].getStepSize()) == (50, 6, 0.05)

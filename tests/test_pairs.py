@@ -6,8 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairloom.functions import cleanup, editdist, order, pairs, text, vectors
@@ -43,16 +41,6 @@ def test_character_penalty_is_one_sided(cases):
     assert got[7] == pytest.approx((2 - 1) / 3) and got[8] == pytest.approx(2 / 3) and got[1] == 0
 
 
-@given(st.lists(st.text("abc", min_size=1, max_size=3), min_size=1, max_size=4), st.lists(st.text("abc", min_size=1, max_size=3), min_size=1, max_size=4))
-@settings(max_examples=10, deadline=None)
-def test_injections_need_no_listing(a, b):
-    small, large = sorted((a, b), key=len)
-    want = sum(sum(abs(len(x) - len(y)) for x, y in zip(small, p, strict=True)) for p in itertools.permutations(large, len(small))) / (len(a) + len(b))
-    n, m = len(small), len(large)
-    factor = math.factorial(m - 1) / math.factorial(m - n)
-    assert sum(abs(len(x) - len(y)) for x in a for y in b) * factor / (n + m) == pytest.approx(want)
-
-
 def test_permuted_and_frequent(spark):
     df = spark.createDataFrame([(["a", "bb"], ["ccc", "a", "dd"])], "x array<string>, y array<string>")
     got = df.select(pairs.permuted(F.col("x"), F.col("y"), F.levenshtein).alias("d")).first().d
