@@ -35,7 +35,7 @@ from . import common as C
 ORDER = 5
 UPPER, LOWER, FOLDS = 0.99, 0.002, 4
 UPPERS, LOWERS = (1.0, 0.998, 0.995, 0.99, 0.985, 0.98, 0.97, 0.96, 0.95, 0.93, 0.9, 0.85, 0.8), (0.0, 0.002, 0.005, 0.01, 0.02)
-_FULL = (1 << (8 * ORDER)) - 1
+LEAST = 0.05
 _SENT = "kind int, bucket int, block int, keys binary, counts binary"
 
 
@@ -130,12 +130,12 @@ def _score(buckets: int):
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams seen 1, 2, 3 and 4 times; 0.5, 1 and 1.5 where some number is 0."""
+    """D1, D2, D3+ from the numbers of n-grams seen 1, 2, 3 and 4 times, LEAST at least, so that every context leaves something; 0.5, 1 and 1.5 where some number is 0."""
     n = [x or 0 for x in counts.agg(*(F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4))).first()]
     if not all(n):
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) for k in (1, 2, 3)]
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], LEAST), float(k)) for k in (1, 2, 3)]
 
 
 def _by(n: Column, d: list[float]) -> Column:

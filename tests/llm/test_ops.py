@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import chat, jpeg, language_id, media, mixing, near_dedup, packing, quality, queries, sharding, substring_dedup, topk
+from pairloom.llm import chat, common, jpeg, language_id, media, mixing, near_dedup, packing, quality, queries, sharding, substring_dedup, topk
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, `row` string"
@@ -180,13 +180,16 @@ def test_fullest_subset_is_best():
 
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 64, "b" * 65, "é" * 5000, *odd_texts(6, 30)]
-    got = {r.doc_id: r for r in media.read_back(media.stored(docs(spark, texts))).collect()}
+    column = common.materialize(media.stored(docs(spark, texts)))  # a media column, and one of tensors read from it
+    got = {r.doc_id: r for r in common.materialize(media.read_back(column)).collect()}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and len(r.rgb) == r.height * r.width * 3
+        sums = np.frombuffer(r.rgb, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        assert r.feature == f"{r.width}x{r.height}:" + ",".join(map(str, sums))
     assert got[0].feature == got[1].feature and got[0].media_sha256 == got[1].media_sha256
     assert media.read_back(media.stored(docs(spark, []))).count() == 0
 
@@ -222,7 +225,7 @@ def kneser_ney(texts, order=quality.ORDER):
     for k, c in counts.items():
         n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
-        ds[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0), j) for j in (1, 2, 3)] if all(n) else [0.5, 1.0, 1.5]
+        ds[k] = [min(max(j - (j + 1) * y * n[j] / n[j - 1], quality.LEAST), j) for j in (1, 2, 3)] if all(n) else [0.5, 1.0, 1.5]
 
     def p(g):
         k = len(g)
@@ -428,7 +431,7 @@ def test_weights_meet_their_target(spark, how):
 
 
 def mix_brute(rows, how):
-    """How often each row is there. rows: (source, tokens, key); keys are unique."""
+    """How often each row is there. rows: (source, tokens, key); rows of one source and key share their fate."""
     by = defaultdict(list)
     for i, (s, n, key) in enumerate(rows):
         by[s].append((key, n, i))
@@ -446,9 +449,11 @@ def mix_brute(rows, how):
         start = 0
         for b in sorted(blocks):
             end, size = start, sum(n for _, n, _ in blocks[b])
-            for _, n, i in sorted(blocks[b]):
-                end += n
-                times[i] += start + size <= rest or (start < rest and end <= rest)
+            for _, same in itertools.groupby(sorted(blocks[b]), lambda x: x[0]):
+                same = list(same)
+                end += sum(n for _, n, _ in same)
+                for _, _, i in same:
+                    times[i] += start + size <= rest or (start < rest and end <= rest)
             start += size
     return times
 
@@ -539,9 +544,6 @@ def test_languages_of_odd_tables(spark):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-    from pairloom.llm import common
-
     d = common.table(spark, SF, "documents").withColumn("block", F.lit(1))
     for name, stage in corpus_pipeline.STAGES:
         out = common.materialize(stage(spark, d, SF))
