@@ -28,6 +28,7 @@ CONTRACTIONS = (
     (r"i\.e\.", " ie ", True),
     (r"(\W|^)([0-9]+)[kK](\W|$)", "$1$2000$3", False),
 )
+# Spelling rules, in order.
 SPELLING = (
     (" e-mail ", " email ", True),
     (" india ", " India ", False),
@@ -75,6 +76,7 @@ SPELLING = (
     (" wtiter ", " writer ", False),
     (" litrate ", " literate ", False),
 )
+# Rules for numbers and signs, in order.
 NUMBERS_AND_SIGNS = (
     (r"\(s\)", " ", True),
     (r"[c-fC-F]:/", " disk ", True),
@@ -86,6 +88,7 @@ NUMBERS_AND_SIGNS = (
     (r"([!?@^+*/,~|`=:;.#\\])", " $1 ", False),
     (r"[^\x00-\x7F]+", " non_ascii_word ", False),
 )
+# Quoted and bracketed spans, and the last rules, in order.
 SPANS = (r'".*"', r"'.*'", r"\(.*\)", r"\[.*\]", r"\{.*\}", r"<.*>")
 LAST = ((r"([()\[\]{}<>'\"])", " $1 ", False), (" s ", " ", False), (r"\s+", " ", False))
 

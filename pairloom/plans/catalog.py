@@ -413,6 +413,16 @@ def feature_join(spark, sf_dir):
     return frames.assemble(p.select("id"), [lengths, said])
 
 
+@query("external_features", """SELECT d.doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE l.quality::DOUBLE END AS tree_a, CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE d.n_chars::DOUBLE END AS tree_b_chars,
+  CASE WHEN l.doc_id IS NULL THEN 0.0 ELSE d.n_chars / 2.0::DOUBLE END AS tree_b_half FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def external_features(spark, sf_dir):
+    """Tables of others, joined where all have a row and then filled up to every id."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("chars"))
+    a = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"))
+    both = frames.inner_features({"tree_a": a, "tree_b": d.withColumn("half", F.col("chars") / 2.0)})
+    return frames.aligned(d, both)
+
+
 @query("vocabulary", f"WITH {PAIRS} SELECT DISTINCT unnest(string_split(q, ' ')) AS word FROM (SELECT question1 AS q FROM pairs UNION ALL SELECT question2 FROM pairs)")
 def vocabulary(spark, sf_dir):
     return frames.vocabulary(document_pairs(spark, sf_dir))

@@ -85,7 +85,11 @@ def read_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFram
 
 
 def read_word2vec(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec) of files in word2vec's binary form; a task reads a file."""
+    """(word, vec) of files in word2vec's binary form.
+
+    Records have no fixed length, so a task reads a file, and none may exceed the 2 GB of a value: larger ones are cut
+    into files first. Read it once and keep the rows as Parquet.
+    """
 
     def parse(rows):
         for pdf in rows:

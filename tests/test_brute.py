@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.functions import cleanup, lexicon, order, vectors
+from pairloom.functions import cleanup, editdist, lexicon, order, pairs, vectors
 from pairloom.functions.stem import stem, stems
 from pairloom.operators import ensemble, frames, signals
 from pairloom.plans import catalog, models
@@ -301,3 +301,38 @@ def test_models_learn_save_and_predict_unlabelled_rows(spark, tmp_path):
     out = {r.id: r.p for r in models.stacked(df, k=2, trees=5, rounds=3, deepest=4).collect()}
     assert len(out) == 240 and min(out.values()) == 0 and max(out.values()) == 1
     assert np.mean([(out[i] > 0.5) == true[i] for i in range(0, 240, 6)]) > 0.8
+
+
+def test_path_similarity_over_permutations(spark):
+    known = {"a|x": 0.5, "b|y": 0.25, "a|z": 1.0}
+    df = spark.createDataFrame([(["a", "b"], ["x", "y", "z"], known), ([], ["x"], known)], "s array<string>, t array<string>, m map<string,double>")
+    got = [r.d for r in df.select(lexicon.cross_path_similarity(F.col("s"), F.col("t"), F.col("m")).alias("d")).collect()]
+    want = sum(known.get(f"a|{p}", 0) + known.get(f"b|{q}", 0) for p, q in itertools.permutations("xyz", 2)) / 5
+    assert got == [pytest.approx(want), 0.0]
+
+
+def test_edit_distance_of_other_costs():
+    d = editdist.EditDistance("abc", "axc", insertion=lambda x: 2, deletion=lambda x: 3, substitution=lambda x, y: 0 if x == y else 10)
+    assert d.cost == 5 and {"".join(s[0] for s in a) for a in d.alignments()} == {"MIDM", "MDIM"}
+    long = editdist.EditDistance("a" * 30, "b" * 20).alignments()
+    assert len(list(itertools.islice(long, 5))) == 5  # without listing all of them first
+
+
+def test_replaced_words(spark):
+    df = spark.createDataFrame([("a big dog, a big cat",)], "q string")
+    assert df.select(cleanup.replace_words(F.col("q"), {" big ": " large ", "dog|cat": "pet"})).first()[0] == "a large pet, a large pet"
+
+
+def test_places_compared_with_themselves(spark):
+    df = spark.createDataFrame([("Paris, Rome", "Oslo"), ("", "Oslo")], "a string, b string")
+    f = pairs.places(F.col("a"), F.col("b"), ["Paris", "Rome", "Oslo"], compat=True)
+    assert [tuple(r) for r in df.select(*f.values()).collect()] == [(2, 0, 4), (0, 0, 0)]
+    with pytest.raises(ValueError):
+        pairs.places(F.col("a"), F.col("b"), ["x"] * (pairs.MOST_NAMES + 1))
+
+
+def test_lines_and_other_encodings(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("a,b,c\n\nd")
+    assert sorted(r.fields for r in store.read_lines(spark, str(tmp_path / "x.txt")).collect()) == [[""], ["a", "b", "c"], ["d"]]
+    (tmp_path / "y.csv").write_bytes("test_id,question1,question2\n1,caf\xe9,\xdcber\n".encode("latin-1"))
+    assert store.read_csv(spark, str(tmp_path / "y.csv"), store.TEST, encoding="ISO-8859-1").collect() == [(1, "caf\xe9", "\xdcber")]

@@ -67,6 +67,7 @@ def test_cleanup(spark):
     assert "quoted_item" in quoted.select(cleanup.clean(F.col("q"), "full", F.array(F.lit("say")))).first()[0]
 
 
+# Pairs of words with their distances.
 @pytest.mark.parametrize(("a", "b", "cost"), [("god", "gawd", 2), ("sitting", "kitten", 3), ("bana", "banananana", 6), ("bana", "bana", 0), ("banana", "angioplastical", 11), ("Saturday", "Sunday", 3)])
 def test_edit_distance(a, b, cost):
     assert editdist.EditDistance(a, b).cost == cost
