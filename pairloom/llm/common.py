@@ -7,11 +7,13 @@ numpy; a word's fingerprint depends on its bytes alone, so every task gives a wo
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import itertools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +192,7 @@ def unpack_ascending(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
 # --- blocks: texts by a hash of their key, so that what is said about a block reaches the same rows again
 
 #: Bytes of text in a block, about: what a task holds at once, whatever the size of the table.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def blocks_of(docs: DataFrame) -> int:
@@ -246,6 +248,24 @@ def blocked_tight(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame
     return dealt(docs.select(block, *columns).mapInArrow(_block_parts, "block int, payload binary"), blocks)
 
 
+def lean(work: Callable, sides: int) -> Callable:
+    """work of one table or two, after which what it freed goes back to the system: an idle worker's memory counts as its executor's."""
+
+    def freed(out: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        return out
+
+    def one(rows: pa.Table) -> pa.Table:
+        return freed(work(rows))
+
+    def two(rows: pa.Table, other: pa.Table) -> pa.Table:
+        return freed(work(rows, other))
+
+    return one if sides == 1 else two
+
+
 def unblocked(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in rows.column("payload").to_pylist()])
 

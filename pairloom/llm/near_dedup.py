@@ -116,11 +116,16 @@ def _sketches(got: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
-    """Whether the sketches in the rows of a are near those in b (or the one b)."""
+def _near(a: np.ndarray, b: np.ndarray, limit: float, elements: np.ndarray) -> np.ndarray:
+    """Whether the sketches in the rows of a are near those in b (or the one b). elements: of both sets together.
+
+    The bins seen are drawn out of the union, all of it if the sets are small, without putting any back.
+    """
     seen = ((a > 0) | (b > 0)).sum(axis=-1)
     same = ((a == b) & (a > 0)).sum(axis=-1)
-    return same >= seen * limit - DEVIATIONS * np.sqrt(np.maximum(seen, 1) * limit * (1 - limit)) - 1
+    union = np.maximum(elements / (1 + limit), 2.0)  # of sets that are just alike enough; those more alike have a smaller one
+    left = np.clip((union - seen) / (union - 1), 0.0, 1.0)
+    return same >= seen * limit - DEVIATIONS * np.sqrt(np.maximum(seen, 1) * limit * (1 - limit) * left) - 1
 
 
 def _full_sets(width: int):
@@ -141,7 +146,7 @@ def _likely(num: int, den: int):
         for batch in batches:
             if batch.num_rows:
                 u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("u_sketch", "v_sketch"))
-                batch = batch.filter(pa.array(_near(u, v, num / den)))
+                batch = batch.filter(pa.array(_near(u, v, num / den, batch.column("elements").to_numpy())))
             yield batch.select(["u", "v"])
 
     return run
@@ -190,7 +195,7 @@ def _tiles(num: int, den: int):
             right = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num)]
             agree = slots[right] == slots[i]
             right = right[(agree[:, :HALVES].argmax(axis=1) == a) & (agree[:, HALVES:].argmax(axis=1) + HALVES == b)]
-            for j in right[_near(sketch[right], sketch[i], num / den)]:
+            for j in right[_near(sketch[right], sketch[i], num / den, n[right] + n[i])]:
                 x, y = top(int(root[i])), top(int(root[j]))
                 if x != y and _alike(np.frombuffer(own[i], np.uint64), np.frombuffer(own[j], np.uint64), num, den):
                     group[max(x, y)] = min(x, y)
@@ -250,7 +255,7 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         pairs = u.join(v, "key").filter("u < v AND u_root <> v_root").select("u", "v").distinct()
         u, v = (full.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("size").alias(f"{c}_n")) for c in "uv")
         pairs = pairs.join(u, "u").join(v, "v").filter(f"least(u_n, v_n) * {den} >= greatest(u_n, v_n) * {num}")
-        likely = C.materialize(pairs.select("u", "v", "u_sketch", "v_sketch").mapInArrow(_likely(num, den), "u long, v long"))
+        likely = C.materialize(pairs.select("u", "v", "u_sketch", "v_sketch", (F.col("u_n") + F.col("v_n")).alias("elements")).mapInArrow(_likely(num, den), "u long, v long"))
         # tiles of a larger bucket: each class meets every tile of its bucket once
         tiles = F.greatest(F.ceil(F.col("elements_n") / TILE), F.ceil(F.col("n") / TILE_ROWS))
         placed = many.select("key", "a", "b", "rep", "root", F.pmod(F.xxhash64("rep", F.lit(9)), tiles).alias("tile"), tiles.alias("tiles"))

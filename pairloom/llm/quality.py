@@ -177,12 +177,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     block = C.blocked_tight(slim, ["doc_id", "text", "lang"], blocks)
     good = C.materialize(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    sent = C.materialize(block.groupBy("block").cogroup(C.blocked(good.filter(~_held()), ["doc_id"], blocks).groupBy("block")).applyInArrow(_ask(buckets), _SENT))
-    grams = C.materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, "key long, n long"))
+    sent = C.materialize(block.groupBy("block").cogroup(C.blocked(good.filter(~_held()), ["doc_id"], blocks).groupBy("block")).applyInArrow(C.lean(_ask(buckets), 2), _SENT))
+    grams = C.materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(C.lean(_merged, 1), "key long, n long"))
     place = F.pmod(F.col("key") + F.shiftright("key", 13) * 31, F.lit(buckets)).cast("int").alias("bucket")
     asked = sent.filter("kind = 1").groupBy("bucket")
-    told = asked.cogroup(scores(grams).select(place, "key", "logp").groupBy("bucket")).applyInArrow(_answer, "block int, bucket int, payload binary")
-    out = block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(buckets), "doc_id long, lang string, n_bytes long, log_likelihood double")
+    told = asked.cogroup(scores(grams).select(place, "key", "logp").groupBy("bucket")).applyInArrow(C.lean(_answer, 2), "block int, bucket int, payload binary")
+    out = block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(C.lean(_score(buckets), 2), "doc_id long, lang string, n_bytes long, log_likelihood double")
     out = C.materialize(out)
     ppl = F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_likelihood") / F.col("n_bytes")))
     return out.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "n_bytes", ppl.alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))

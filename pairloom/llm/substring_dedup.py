@@ -328,16 +328,16 @@ def dedup_substrings(docs: DataFrame, spacing: bool = False, carry: bool = False
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([rest] if carry else []))
     block = C.blocked_tight(slim, slim.columns, blocks)
     only = C.blocked_tight(slim, ["doc_id", "text"], blocks) if carry else block
-    answered = lambda df, f, schema: C.dealt(df, buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)
-    told = answered(only.groupBy("block").applyInArrow(_first_round(buckets), _SENT), _names(1), _SENT)
+    answered = lambda df, f, schema: C.dealt(df, buckets, "bucket").groupBy("bucket").applyInArrow(C.lean(f, 1), schema)
+    told = answered(only.groupBy("block").applyInArrow(C.lean(_first_round(buckets), 1), _SENT), _names(1), _SENT)
     for k in range(2, ROUNDS + 1):
-        told = answered(only.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_next_round(buckets, k - 1), _SENT), _names(k), _SENT)
-    asked = only.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_windows(buckets), _SENT)
+        told = answered(only.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(C.lean(_next_round(buckets, k - 1), 2), _SENT), _names(k), _SENT)
+    asked = only.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(C.lean(_send_windows(buckets), 2), _SENT)
     late = answered(asked, _not_first, "block int, payload binary")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     if carry:
         schema.add("carried", slim.schema["carried"].dataType)
-    return block.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(_cut(spacing, carry), schema)
+    return block.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(C.lean(_cut(spacing, carry), 2), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
