@@ -17,7 +17,7 @@ one other of its buckets, by sets, and linked classes merge; buckets within one
 ``SMALL`` classes list their pairs of different groups, larger ones compare them in tiles of ``TILE``
 elements, each pair in the first bucket that it shares only. A sketch of ``BINS`` bins (the first
 element of each) passes a pair on to the full sets unless its estimate lies more than ``DEVIATIONS``
-standard deviations below the threshold, which a true link does with a chance of some 1e-12. No pair
+standard deviations below the threshold, which a true link does with a chance of some 1e-6. No pair
 within a group is listed.
 
 Elements are 52-bit fingerprints of words; two elements of one pair of documents of 1,000 words share
@@ -37,7 +37,7 @@ from . import common as C
 from .components import components
 
 HALVES, EACH, STARS = 8, 2, 2
-SMALL, BINS, DEVIATIONS = 24, 256, 8
+SMALL, BINS, DEVIATIONS = 24, 256, 5
 #: Elements of the sets in a tile, and its classes, about.
 TILE, TILE_ROWS = 1_000_000, 4096
 _SLOTS = [f"h{i}" for i in range(2 * HALVES)]
