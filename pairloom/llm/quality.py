@@ -5,8 +5,9 @@ marks, byte 1); words of running text are too rare for counts of word runs to sa
 documents labelled of good quality and not toxic. All n-grams that the corpus asks for are scored, and
 all text of the trusted documents is counted but for those held out (below); nothing is sampled.
 
-Counts and scores are sharded: blocks of documents send their distinct n-grams, with counts where the
-text is trusted, to buckets of n-grams; buckets add up. Lower orders count distinct left extensions.
+Counts and scores are sharded: blocks of documents send their distinct n-grams, each once, with counts
+where the text is trusted, to buckets of n-grams; buckets add up. N-grams of one context share a bucket,
+so that the steps between a bucket's n-grams are small and travel in few bytes. Lower orders count distinct left extensions.
 Discounts D1, D2, D3+ of an order follow from its numbers of n-grams seen once to four times. Joins by
 n-gram, by context and by suffix, from order 1 up, give the probability of each n-gram asked for; the
 buckets answer the blocks, and a block adds up its documents.
@@ -36,11 +37,11 @@ ORDER = 5
 UPPER, LOWER, FOLDS = 0.99, 0.002, 4
 UPPERS, LOWERS = (1.0, 0.998, 0.995, 0.99, 0.985, 0.98, 0.97, 0.96, 0.95, 0.93, 0.9, 0.85, 0.8), (0.0, 0.002, 0.005, 0.01, 0.02)
 LEAST = 0.05
-_SENT = "kind int, bucket int, block int, keys binary, counts binary"
+_SENT = "bucket int, block int, keys binary, counts binary"
 
 
 def _bucket(key, buckets):
-    return (key + (key >> 13) * 31) % buckets
+    return (((key >> 8) * 0x5851F42D) >> 20) % buckets  # a context has 32 bits, its product 63
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +66,13 @@ def _dealt(keys: np.ndarray, buckets: int):
         yield int(b[part[0]]), part
 
 
-def _deltas(keys: np.ndarray) -> bytes:
-    return C.pack(np.diff(keys, prepend=np.uint64(0)))
-
-
 def _keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(C.unpack(blob)[0], dtype=np.uint64)
+    return C.unpack_ascending(blob)[0]
 
 
 def _ask(buckets: int):
     def run(rows: pa.Table, trusted: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         if rows.num_rows:
             block = rows.column("block")[0].as_py()
             rows = C.unblocked(rows)
@@ -83,10 +80,11 @@ def _ask(buckets: int):
             good = pc.is_in(C.column(rows, "doc_id"), value_set=C.column(trusted, "doc_id").drop_null()).to_numpy(zero_copy_only=False)
             seen, count = np.unique(keys[np.repeat(good, n)], return_counts=True)
             asked = np.unique(keys)
-            found = [(0, b, block, _deltas(seen[p]), C.pack(count[p].astype(np.uint32))) for b, p in _dealt(seen, buckets)]
-            found += [(1, b, block, _deltas(asked[p]), None) for b, p in _dealt(asked, buckets)]
+            counts = np.zeros(len(asked), np.int64)
+            counts[np.searchsorted(asked, seen)] = count
+            found = [(b, block, C.pack_ascending(asked[p]), C.pack(C.planes(counts[p])) if counts[p].any() else None) for b, p in _dealt(asked, buckets)]
             out = [list(x) for x in zip(*found, strict=True)] or out
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "block", "keys", "counts"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "counts"])
 
     return run
 
@@ -96,7 +94,7 @@ def _merged(rows: pa.Table) -> pa.Table:
     keys, counts = [], []
     for k, c in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True):
         keys.append(_keys(k))
-        counts.append(C.unpack(c)[0].astype(np.int64) if c else np.zeros(len(keys[-1]), np.int64))
+        counts.append(C.numbers(C.unpack(c)[0]).astype(np.int64) if c else np.zeros(len(keys[-1]), np.int64))
     key, back = np.unique(np.concatenate(keys), return_inverse=True)
     return pa.table({"key": pa.array(key.astype(np.int64)), "n": pa.array(np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64))})
 
@@ -105,7 +103,7 @@ def _answer(rows: pa.Table, scores: pa.Table) -> pa.Table:
     key, logp = scores.column("key").to_numpy(), scores.column("logp").to_numpy()
     order = np.argsort(key)
     key, logp = key[order].astype(np.uint64), logp[order].astype(np.float32)
-    replies = [C.pack(logp[np.searchsorted(key, _keys(x))]) for x in rows.column("keys").to_pylist()]
+    replies = [C.pack(C.planes(logp[np.searchsorted(key, _keys(x))].view(np.uint32))) for x in rows.column("keys").to_pylist()]
     return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "payload": pa.array(replies, pa.binary())})
 
 
@@ -117,7 +115,7 @@ def _score(buckets: int):
         told = dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist(), strict=True))
         logp = np.zeros(len(asked), np.float64)
         for b, p in _dealt(asked, buckets):
-            logp[p] = C.unpack(told[b])[0]
+            logp[p] = C.numbers(C.unpack(told[b])[0]).astype(np.uint32).view(np.float32)
         end = np.cumsum(n)
         total = np.zeros(len(n))
         step = 1 << 20
@@ -179,8 +177,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     good = C.materialize(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     sent = C.materialize(block.groupBy("block").cogroup(C.blocked(good.filter(~_held()), ["doc_id"], blocks).groupBy("block")).applyInArrow(C.lean(_ask(buckets), 2), _SENT))
     grams = C.materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(C.lean(_merged, 1), "key long, n long"))
-    place = F.pmod(F.col("key") + F.shiftright("key", 13) * 31, F.lit(buckets)).cast("int").alias("bucket")
-    asked = sent.filter("kind = 1").groupBy("bucket")
+    place = F.pmod(F.shiftright(F.shiftright("key", 8) * 0x5851F42D, 20), F.lit(buckets)).cast("int").alias("bucket")
+    asked = sent.select("bucket", "block", "keys").groupBy("bucket")
     told = asked.cogroup(scores(grams).select(place, "key", "logp").groupBy("bucket")).applyInArrow(C.lean(_answer, 2), "block int, bucket int, payload binary")
     out = block.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(C.lean(_score(buckets), 2), "doc_id long, lang string, n_bytes long, log_likelihood double")
     out = C.materialize(out)

@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +258,25 @@ def test_perplexity_brute_force(spark):
             assert r.perplexity == pytest.approx(math.exp(-sum(math.log(p(raw[i : i + 5])) for i in range(n)) / n), rel=1e-5)
 
 
+def test_quality_sends_each_gram_once_in_few_bytes():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    block = table.append_column("lang", pa.nulls(len(table), pa.string())).add_column(0, "block", pa.array([0] * len(table), pa.int32())).combine_chunks()
+    sent, ids = pa.Table.from_batches(common._block_parts(block.to_batches())), table.column("doc_id").to_pylist()[::3]
+    out = quality._ask(50)(sent, pa.table({"doc_id": pa.array(ids, pa.int64())}))
+    grams, counted, trusted = set(), Counter(), set(ids)
+    for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True):
+        raw = b"\x01" * (quality.ORDER - 1) + (t or "").encode()
+        found = [raw[j : j + quality.ORDER] for j in range(len(raw) - quality.ORDER + 1)]
+        grams.update(found)
+        counted.update(found if i in trusted else ())
+    told = [int(k) for x in out.column("keys").to_pylist() for k in quality._keys(x)]
+    assert len(told) == len(grams) and set(told) == {int.from_bytes(g, "big") for g in grams}
+    merged = quality._merged(out)
+    n = dict(zip(merged.column("key").to_pylist(), merged.column("n").to_pylist(), strict=True))
+    assert n == {int.from_bytes(g, "big"): counted[g] for g in grams}
+    assert sum(len(x or b"") for c in ("keys", "counts") for x in out.column(c).to_pylist()) < 3.5 * len(grams)
+
+
 def test_quality_on_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert {r.kept for r in quality.classify(docs(spark, odd_texts(8, 20)), none).collect()} == {True}
