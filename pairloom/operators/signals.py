@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import pad_sequence
 from ..sources.store import materialize
@@ -17,7 +18,7 @@ from ..sources.store import materialize
 
 def word_counts(pairs: DataFrame, t1: Column, t2: Column) -> DataFrame:
     """(word, n) over both sides."""
-    words = pairs.select(F.explode(t1).alias("word")).union(pairs.select(F.explode(t2).alias("word")))
+    words = pairs.select(F.explode(F.concat(F.coalesce(t1, F.array().cast("array<string>")), F.coalesce(t2, F.array().cast("array<string>")))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -260,6 +261,27 @@ def both_sequences(pairs: DataFrame, index: DataFrame, length: int = 30) -> Data
     return side(1).join(side(2), "id")
 
 
+def last_known(texts: DataFrame, index: DataFrame, length: int = 30) -> DataFrame:
+    """As sequences, of (doc_id, t), with an index that word_index bounds: texts are read from the end where they lie, as far as ``length`` known words reach."""
+    known = texts.sparkSession.sparkContext.broadcast(dict(index.select("word", "idx").collect()))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lo in range(0, batch.num_rows, 64):
+                for words in batch.column("t").slice(lo, 64).to_pylist():
+                    got: list[int] = []
+                    for w in reversed(words or []):
+                        if len(got) == length:
+                            break
+                        if (k := known.value.get(w)) is not None:
+                            got.append(k)
+                    out.append([0] * (length - len(got)) + got[::-1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "seq"])
+
+    return texts.select("doc_id", "t").mapInArrow(run, T.StructType([texts.schema["doc_id"], T.StructField("seq", T.ArrayType(T.IntegerType()))]))
+
+
 def null_embeddings(matrix: DataFrame) -> DataFrame:
     """(n_words, n_null) of (idx, word, vec): how many words, and how many whose numbers add up to 0."""
     total = F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)

@@ -94,3 +94,29 @@ def test_a_text_is_searched_for_places_once(spark):
 
     plan = catalog.QUERIES["places"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_profiles_share_a_pass_and_no_text_is_paired_twice(spark, monkeypatch):
+    from pairloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog, "token_pairs", lambda *a, f=catalog.token_pairs: seen.append(a) or f(*a))
+    catalog.text_profiles(spark, "/root/testdata/sf0.001").count()
+    catalog.QUERIES["feature_table"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3  # text_profiles twice, and overlap_weighted
+
+
+def test_last_known_words(spark):
+    index = spark.createDataFrame([("a", 1), ("b", 2)], "word string, idx int")
+    texts = spark.createDataFrame([(0, ["a", "x", "b", "b"]), (1, None), (2, ["x"])], "doc_id long, t array<string>")
+    assert {r.doc_id: r.seq for r in signals.last_known(texts, index, 2).collect()} == {0: [2, 2], 1: [0, 0], 2: [0, 0]}
+    assert {r.doc_id: r.seq for r in signals.last_known(texts, index, 4).collect()}[0] == [0, 1, 2, 2]
+
+
+def test_synonyms_meet_both_texts_in_one_join(spark):
+    from pairloom.operators import frames
+
+    p = spark.createDataFrame([(0, "a a a", None), (1, "a", ""), (2, "b a c", "a  a a")], "id long, question1 string, question2 string")
+    out = frames.with_synonyms(p, spark.createDataFrame([("a", "z")], "word string, synonym string"))
+    assert {tuple(r) for r in out.collect()} == {(0, "a z a", None), (1, "a", ""), (2, "b z c", "a  z a")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
